@@ -3,7 +3,8 @@
 1. Every 50-byte window has an anchor, its least 20-byte gram by hash; equal windows have equal anchors.
    Neighbouring windows with one anchor make a run. Runs (hashes only) meet by anchor; equal runs of
    several documents are settled at once, first within a task's texts, then for all.
-2. Only runs that share an anchor with a different run of another document may hold further matches. Their bytes
+2. A window holds its anchor and 30 more bytes, so at least 15 at one side: only runs that share an anchor and
+   its 15 neighbours at a side with a different run of another document may hold further matches. Their bytes
    are fetched, and each bucket of anchors is suffix-sorted by the difference-cover method: triples at
    places 1 and 2 modulo 3 are sorted and named, the string of names is sorted in the same way as deep as
    50 bytes need, the remaining suffixes are merged, and prefixes of neighbours are compared.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, parts, text_or_empty
 
-#: Bytes of a match and of an anchor gram; texts are scanned in chunks of about so many bytes.
-MATCH, GRAM, CHUNK = 50, 20, 1 << 21
+#: Bytes of a match, of an anchor gram and of its neighbourhood; texts are scanned in chunks of about so many bytes.
+MATCH, GRAM, SIDE, CHUNK = 50, 20, 15, 1 << 21
+#: Neighbourhood hash of an anchor too near to the end of its text.
+NONE = 255
 #: Different runs that share an anchor from which it is split by window content.
 HOT = 4096
 
@@ -55,21 +58,19 @@ def _gathered(blobs: list[bytes], *types: str) -> list[np.ndarray]:
     return [np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate(types)]
 
 
-def runs(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor hash) of each run in joined texts; owner_end has, by place, its text's end."""
+def runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first window, windows, anchor hash, left and right neighbourhood) of each run in joined texts, each of MATCH bytes or more."""
     n = len(data) - GRAM + 1
-    if len(data) < MATCH:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     with np.errstate(over="ignore"):
         power = np.full(len(data) + 1, _POWER)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_MIX[data] * power[:-1], out=total[1:])
-        inverse = np.full(n, np.uint64(pow(int(_POWER), -1, 1 << 64)))
+        inverse = np.full(len(data), np.uint64(pow(int(_POWER), -1, 1 << 64)))
         inverse[0] = 1
         np.multiply.accumulate(inverse, out=inverse)
-        h = (total[GRAM:] - total[:-GRAM]) * inverse
+        h = (total[GRAM:] - total[:-GRAM]) * inverse[:n]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
@@ -83,12 +84,21 @@ def runs(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, np.ndarra
         low = np.minimum(low[: len(low) - (wide - have)], low[wide - have :])
     at = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
     start = np.arange(len(at))
-    ok = start + MATCH <= owner_end[: len(at)]
+    ok = start + MATCH <= np.repeat(ends, ends - begins)[: len(at)]
     start, at = start[ok], at[ok]
-    if not len(start):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
-    return start[new], np.diff(np.append(new, len(start))), h[at[new]]
+    at = at[new]
+    own = np.searchsorted(begins, at, "right") - 1
+
+    def near(a: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        a = np.where(inside, a, 0)
+        with np.errstate(over="ignore"):
+            side = (total[np.minimum(a + SIDE, len(data))] - total[a]) * inverse[np.minimum(a, len(data) - 1)]
+            side *= np.uint64(0xBF58476D1CE4E5B9)
+        return np.where(inside, (side >> np.uint64(33)) % np.uint64(NONE), NONE).astype("u1")
+
+    left, right = near(at - SIDE, at - SIDE >= begins[own]), near(at + GRAM, at + GRAM + SIDE <= ends[own])
+    return start[new], np.diff(np.append(new, len(start))), h[at], left, right
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[tuple[int, int, int, int, int]]]]:
@@ -119,12 +129,12 @@ def _anchored(buckets: int, docs: int):
         digest = xxhash.xxh3_64_intdigest
         for data, rows in _chunks(batches):
             doc, twin, place, begin, end = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-            start, n, anchor = runs(np.frombuffer(data, np.uint8), np.repeat(end, end - begin))
+            start, n, anchor, left, right = runs(np.frombuffer(data, np.uint8), begin, end)
             own = np.searchsorted(begin, start, "right") - 1
             rhash = np.fromiter((digest(data[a:b]) for a, b in zip(start.tolist(), (start + n + MATCH - 1).tolist(), strict=True)), np.uint64, len(start))
             d, t, at = doc[own], twin[own].astype("<u4"), (start - begin[own] + place[own]).astype("<i8")
             order = np.lexsort((d, rhash, anchor))
-            anchor, rhash, d, t, at, n = (x[order] for x in (anchor, rhash, d, t, at, n))
+            anchor, rhash, d, t, at, n, left, right = (x[order] for x in (anchor, rhash, d, t, at, n, left, right))
             first = np.flatnonzero(np.concatenate([[True], (rhash[1:] != rhash[:-1]) | (anchor[1:] != anchor[:-1])])) if len(d) else np.zeros(0, np.int64)
             least = np.repeat(d[first], np.diff(np.append(first, len(d))))
             later = d > least
@@ -136,8 +146,7 @@ def _anchored(buckets: int, docs: int):
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 k = keep[edges[b] : edges[b + 1]]
-                low = anchor[k].view(np.uint8).reshape(-1, 8)[:, :5]
-                out.append((b, 0, _packed(low, rhash[k], d[k], t[k], at[k], n[k].astype("u1"))))
+                out.append((b, 0, _packed(anchor[k].astype("<u4"), rhash[k].view(np.uint8).reshape(-1, 8)[:, :7], d[k], t[k], at[k], n[k].astype("u1"), left[k], right[k])))
             yield _rows(out)
 
     return run
@@ -180,12 +189,12 @@ def _settle(docs: int):
 
     def run(table: pa.Table) -> pa.Table:
         blobs, target = table.column("blob").to_pylist(), int(table.column("bucket")[0].as_py())
-        low, rhash, doc, twin, at, n = _gathered(blobs, "V5", "<u8", "<i8", "<u4", "<i8", "u1")
-        wide = np.zeros((len(low), 8), np.uint8)
-        wide[:, :5] = low.view(np.uint8).reshape(-1, 5)
-        anchor = wide.view(np.uint64).reshape(-1)
+        anchor, seven, doc, twin, at, n, left, right = _gathered(blobs, "<u4", "V7", "<i8", "<u4", "<i8", "u1", "u1", "u1")
+        wide = np.zeros((len(seven), 8), np.uint8)
+        wide[:, :7] = seven.view(np.uint8).reshape(-1, 7)
+        rhash = wide.view("<u8").reshape(-1)
         order = np.lexsort((doc, rhash, anchor))
-        anchor, rhash, doc, twin, at, n = (x[order] for x in (anchor, rhash, doc, twin, at, n))
+        anchor, rhash, doc, twin, at, n, left, right = (x[order] for x in (anchor, rhash, doc, twin, at, n, left, right))
         a_new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         r_new = a_new | np.concatenate([[True], rhash[1:] != rhash[:-1]])
         r_first, a_first = np.flatnonzero(r_new), np.flatnonzero(a_new)
@@ -193,8 +202,17 @@ def _settle(docs: int):
         later = doc > doc[r_first][r_id]
         out = list(_by_doc(doc[later], twin[later], at[later], n[later].astype(np.int64) + MATCH - 1, docs, 1))
         kinds = np.bincount(a_id[r_first])
-        many = (kinds > 1) & (np.minimum.reduceat(doc, a_first) < np.maximum.reduceat(doc, a_first))
-        ask = many[a_id] & ~later
+        #: Of each run, what is left is of one document; so two documents here are two runs.
+        todo = np.flatnonzero((kinds > 1)[a_id] & ~later)
+        ask = np.zeros(len(doc), bool)
+        for side in (left, right):
+            some = todo[side[todo] != NONE]
+            key = a_id[some] * 256 + side[some]
+            some, key = some[np.argsort(key, kind="stable")], np.sort(key)
+            if len(some):
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                mixed = np.minimum.reduceat(doc[some], first) < np.maximum.reduceat(doc[some], first)
+                ask[some] |= np.repeat(mixed, np.diff(np.append(first, len(some))))
         goal = np.where(kinds[a_id[ask]] > HOT, -1, target)
         out += _by_doc(doc[ask], twin[ask], at[ask], n[ask], docs, 2, goal.astype("<i8"))
         return pa.Table.from_batches([_rows(out)])
@@ -349,20 +367,21 @@ def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _removal(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts with their bucket, spans by bucket of documents)."""
     spark = docs.sparkSession
-    buckets = parts(spark) * 4 + 1
-    texts = docs.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.pmod(F.xxhash64("text"), F.lit(buckets))).cast("long"))
+    #: A bucket of anchors sends one packed row to each bucket of documents.
+    groups, buckets = parts(spark) + 1 - parts(spark) % 2, parts(spark) * 3 + 1
+    texts = docs.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(groups)), F.pmod(F.xxhash64("text"), F.lit(groups))).cast("long"))
     schema = "bucket long, kind int, blob binary"
-    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_anchored(buckets, buckets), schema)
+    rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_anchored(buckets, groups), schema)
     #: Spans found within a task carry the bucket of their document; negative keys keep them apart.
     keyed = rows.withColumn("key", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(-1 - F.col("bucket")))
 
     def settle(table: pa.Table) -> pa.Table:
-        return table.select(["bucket", "kind", "blob"]) if table.column("kind")[0].as_py() else _settle(buckets)(table)
+        return table.select(["bucket", "kind", "blob"]) if table.column("kind")[0].as_py() else _settle(groups)(table)
 
     settled = cut(keyed.groupBy("key").applyInArrow(settle, schema))
     asks = settled.filter("kind = 2").select("bucket", "blob")
     strings = texts.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(_fetch(buckets), "bucket long, blob binary, bytes binary")
-    found = strings.groupBy("bucket").applyInArrow(_matched(buckets), schema)
+    found = strings.groupBy("bucket").applyInArrow(_matched(groups), schema)
     return texts, settled.filter("kind = 1").select("bucket", "blob").union(found.select("bucket", "blob"))
 
 
