@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lines, media, mixing, packing, simhash, suffixes, toxicity, warc
+from . import licenses, lines, media, mixing, packing, passages, simhash, suffixes, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_rules(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif": op1_gif,
     "op2_simhash": op2_simhash,
+    "op3_passages": op3_passages,
     "op4_line_rules": op4_line_rules,
     "op5_mixing": op5_mixing,
     "op6_suffixes": op6_suffixes,
