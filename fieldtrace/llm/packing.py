@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import cut, parts, text_or_empty
 
 LENGTH, END = 4096, 2
-#: Entries that a worker keeps of whole chunks and of their pieces.
-CHUNKS, PIECES = 500_000, 800_000
+#: Byte-level vocabularies write bytes that don't print as the code points from 256 on, in turn.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Entries that a worker keeps.
+PIECES = 1_500_000
 
 
 def vocabulary() -> str:
@@ -30,57 +33,53 @@ def vocabulary() -> str:
 
 
 class WordTokenizer:
-    """Ids of texts, through the tokenizer, with those of white-space-free chunks kept.
+    """Ids of texts, through the tokenizer, with those of pieces kept.
 
-    The tokenizer never joins across white space, so a text's ids are those of its chunks in turn. A chunk
-    of Latin letters, digits and ASCII signs also splits as the tokenizer splits it, at the borders of
-    letters; anything else goes to the tokenizer as it is.
+    The tokenizer never joins across white space. Chunks of Latin letters, digits and ASCII signs split as the
+    tokenizer splits them, at the borders of runs of letters and after each digit; other chunks are pieces as they are.
     """
 
-    _space = re.compile(r"[ \n\t\r]+")
-    _plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]+")
-    _part = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    _plain = r"A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~"
+    _text = re.compile(f"[{_plain} \\n\\t\\r]*")
+    _chunk = re.compile(f"[{_plain}]+")
+    _part = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \n\t\r]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        chunks, known = self._space.split(text), self.chunks
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            self._learn({x for x in chunks if x not in known})
-            return b"".join(map(self.chunks.__getitem__, chunks)) if len(self.chunks) <= CHUNKS else self._once(chunks)
-
-    def _once(self, chunks: list[str]) -> bytes:
-        out = b"".join(map(self.chunks.__getitem__, chunks))
-        self.chunks = {"": b""}
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        if self._text.fullmatch(text):
+            return self._part.findall(text.lower())
+        out: list[str] = []
+        for x in re.split(r"[ \n\t\r]+", text):
+            if self._chunk.fullmatch(x):
+                out += self._part.findall(x.lower())
+            elif x:
+                out.append("\0" + x)  # a mark: this one goes to the tokenizer as it is
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        plain, pieces = {}, self.pieces
-        if len(pieces) > PIECES:
-            pieces.clear()
-        for x in chunks:
-            if self._plain.fullmatch(x):
-                plain[x] = self._part.findall(x.lower())
-        other = [x for x in chunks if x not in plain]
-        for x, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
-            self.chunks[x] = np.array(e.ids, "<u4").tobytes()
-        new = list({p for parts in plain.values() for p in parts if p not in pieces})
-        if new:
-            e = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            at = np.searchsorted(owner, np.arange(len(new) + 1))
-            for i, p in enumerate(new):
-                pieces[p] = ids[at[i] : at[i + 1]].tobytes()
-        for x, own in plain.items():
-            self.chunks[x] = b"".join(map(pieces.__getitem__, own))
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; what isn't known yet is learnt for all of them at once."""
+        split = [self.pieces(x) for x in texts]
+        if len(self.known) > PIECES:
+            self.known = {}
+        self._learn(set().union(*split).difference(self.known))
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in split]
+
+    def _learn(self, new: set[str]) -> None:
+        rest, tokenize = [x for x in new if x[0] == "\0"], self.model.tokenize
+        for x in new.difference(rest):
+            own = x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LETTERS)
+            self.known[x] = array("I", [t.id for t in tokenize(own)]).tobytes()
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for x, e in zip(some, self.tokenizer.encode_batch([x[1:] for x in some], add_special_tokens=False), strict=True):
+                self.known[x] = array("I", e.ids).tobytes()
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -96,9 +95,9 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                rows = []
-                for k, x in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True):
-                    ids = tokens.ids(x) + end
+                rows, (keys, texts) = [], (c.to_pylist() for c in batch.slice(i, 512).columns)
+                for k, x in zip(keys, tokens.ids(texts), strict=True):
+                    ids = x + end
                     for a in range(0, len(ids), 4 * LENGTH):
                         own = ids[a : a + 4 * LENGTH]
                         rows.append((k, a // 4, len(own) // 4, zlib.crc32(own), len(ids) // 4) + (own,) * with_ids)
