@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from hashlib import sha256
 
 import numpy as np
@@ -26,18 +27,21 @@ WIDTHS = np.minimum(12, np.floor(np.log2(np.maximum(FIRST, FIRST - 1 + np.arange
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
-def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
-    at = np.arange(12)
-    bits = (codes[:, None] >> at & 1).astype(np.uint8)
-    return np.packbits(bits[at < widths[:, None]], bitorder="little").tobytes()
+BITS = np.arange(16) < np.append(WIDTHS, 12)[:, None]
+
+
+def _packed(codes: np.ndarray, bits: np.ndarray) -> bytes:
+    """Codes one after another, the lowest bits first; ``bits`` tells which of 16 bits each code has."""
+    every = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(every[bits], bitorder="little").tobytes()
 
 
 def lzw_encode(samples: bytes) -> bytes:
     """Greedy LZW with 8-bit samples; the table is cleared when it is full."""
-    codes, widths, segment, table, size = [np.array([CLEAR])], [WIDTHS[:1]], [], {}, FIRST
+    codes, bits, segment, table, size = [CLEAR], [BITS[:1]], [], {}, FIRST
     put, get = segment.append, table.get
     prefix = samples[0]
-    for sample in memoryview(samples)[1:]:
+    for sample in samples[1:]:
         key = prefix << 8 | sample
         code = get(key)
         if code is not None:
@@ -49,66 +53,78 @@ def lzw_encode(samples: bytes) -> bytes:
         prefix = sample
         if size == FULL:
             put(CLEAR)
-            codes.append(np.array(segment))
-            widths.append(WIDTHS[: len(segment)])
+            codes += segment
+            bits.append(BITS[: len(segment)])
             segment.clear()
             table.clear()
             size = FIRST
     put(prefix)
     put(STOP)
-    codes.append(np.array(segment))
-    widths.append(WIDTHS[: len(segment)])
-    return _packed(np.concatenate(codes), np.concatenate(widths))
+    codes += segment
+    bits.append(BITS[: len(segment)])
+    return _packed(np.array(codes), np.concatenate(bits))
+
+
+@cache
+def _layout(min_bits: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Width and place of the j-th code after a clear code, and the table that a clear code leaves."""
+    first = (1 << min_bits) + 2
+    widths = np.minimum(12, np.floor(np.log2(np.maximum(first, first - 1 + np.arange(FULL)))).astype(np.int64) + 1)
+    return widths, np.concatenate([[0], np.cumsum(widths)]), [bytes([i]) for i in range(1 << min_bits)] + [b"", b""]
 
 
 def lzw_decode(stream: bytes, min_bits: int, limit: int) -> bytes:
     """Samples of a code stream, at most ``limit``; deferred clear codes and lost ends are allowed."""
-    clear, first = 1 << min_bits, (1 << min_bits) + 2
-    widths = np.minimum(12, np.floor(np.log2(np.maximum(first, first - 1 + np.arange(FULL)))).astype(np.int64) + 1)
-    starts = np.concatenate([[0], np.cumsum(widths)])
+    clear = 1 << min_bits
+    widths, starts, base = _layout(min_bits)
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     end, at, out, made = len(stream) * 8, 0, [], 0
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
     table, prev, seen = base[:], b"", 0
+    put, add = out.append, table.append
     while made < limit and at + min_bits < end:
         if seen + 1 < FULL:
-            where, wide = starts[seen:-1] - starts[seen] + at, widths[seen:]
+            stop = int(np.searchsorted(starts, starts[seen] + end - at, "right")) - 1
+            where, wide = starts[seen:stop] - starts[seen] + at, widths[seen:stop]
         else:
-            wide = np.full(FULL, 12)
-            where = at + 12 * np.arange(FULL)
-        fits = where + wide <= end
-        where, wide = where[fits], wide[fits]
+            where = at + 12 * np.arange(min(FULL, (end - at) // 12))
+            wide = np.full(len(where), 12)
         if not len(where):
             break
         codes = words[where >> 3] >> (where & 7) & (1 << wide) - 1
         marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(marks[0]) if len(marks) else len(codes)
+        todo = codes[:n].tolist()
+        if todo and not prev:
+            prev = table[todo[0]]
+            out.append(prev)
+            todo = todo[1:]
         room = len(table)
-        for code in codes[:n].tolist():
-            if not prev:
+        grow = FULL - room
+        for code in todo[:grow]:
+            if code < room:
                 entry = table[code]
+            elif code == room:
+                entry = prev + prev[:1]
             else:
-                if code < room:
-                    entry = table[code]
-                elif code == room:
-                    entry = prev + prev[:1]
-                else:
-                    raise ValueError("a code that is not in the table yet")
-                if room < FULL:
-                    table.append(prev + entry[:1])
-                    room += 1
-            out.append(entry)
+                raise ValueError("a code that is not in the table yet")
+            add(prev + entry[:1])
+            put(entry)
+            room += 1
             prev = entry
-        made = made + sum(map(len, out[-n:])) if n else made
+        for code in todo[grow:]:
+            prev = table[code]
+            put(prev)
         seen += n
         if len(marks):
             if codes[n] == clear + 1:
                 break
             at = int(where[n] + wide[n])
             table, prev, seen = base[:], b"", 0
+            add = table.append
         else:
             at = int(where[-1] + wide[-1])
+            made = sum(map(len, out))
     return b"".join(out)[:limit]
 
 
