@@ -91,7 +91,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
-    first = revisits(rows)
+    #: Written first, so that its size is known: it is broadcast only below Spark's threshold, and pages then aren't shuffled for it.
+    revisits(rows).write.mode("overwrite").parquet(f"{folder}/_first")
+    first = spark.read.parquet(f"{folder}/_first")
     shards = max(1, -(-rows.count() // ROWS))
     dupes = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).join(first, F.col("digest") == F.col("_digest"), "left")
     own = dupes.select("page_id", "url", "html", "first").repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "url", "html")
