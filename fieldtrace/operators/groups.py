@@ -108,12 +108,27 @@ def significance(rows: DataFrame, category: str, score: str, alpha: float = 0.05
     return tests if keep_all else tests.filter(F.col("adjusted") <= alpha)
 
 
+def running_totals(rows: DataFrame, by: str, columns: list[str], buckets: int = 1024) -> DataFrame:
+    """Sums of ``columns`` from the greatest ``by`` down to each row; values of ``by`` are distinct.
+
+    Rows are dealt to equal stretches of ``by`` and summed within them; only the stretches' totals, at most
+    ``buckets`` rows, meet in one task.
+    """
+    ends = rows.agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("hi") - F.col(by)) / (F.col("hi") - F.col("lo")) * (buckets - 1))).otherwise(0)
+    rows = rows.join(F.broadcast(ends), F.lit(True)).withColumn("bucket", place).drop("lo", "hi")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("bucket").agg(*[F.sum(c).alias(f"{c}_all") for c in columns]).select("bucket", *[F.coalesce(F.sum(f"{c}_all").over(before), F.lit(0)).alias(f"{c}_before") for c in columns])
+    own = Window.partitionBy("bucket").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(F.broadcast(totals), "bucket").withColumns({c: F.sum(c).over(own) + F.col(f"{c}_before") for c in columns})
+    return joined.drop("bucket", *[f"{c}_before" for c in columns])
+
+
 def score_curve(rows: DataFrame) -> DataFrame:
     """(score, tp, fp, tpr, fpr, precision) from rows (truth, score), by score downwards; equal scores are one step."""
-    steps = rows.groupBy("score").agg(F.sum("truth").alias("p"), F.sum(1 - F.col("truth")).alias("q"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
-    out = steps.select("score", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(total).alias("np"), F.sum("q").over(total).alias("nq"))
+    steps = rows.groupBy("score").agg(F.sum("truth").alias("tp"), F.sum(1 - F.col("truth")).alias("fp"))
+    total = rows.agg(F.sum("truth").alias("np"), F.sum(1 - F.col("truth")).alias("nq"))
+    out = running_totals(steps, "score", ["tp", "fp"]).join(F.broadcast(total), F.lit(True))
     return out.select("score", "tp", "fp", (F.col("tp") / F.col("np")).alias("tpr"), (F.col("fp") / F.col("nq")).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
@@ -182,3 +197,33 @@ def hashed_split(rows: DataFrame, key: str, seed: str, test: float, validation:
     ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy(F.md5(F.concat_ws("/", F.lit(seed), F.col(key).cast("string"))), key))).withColumn("_n", F.count("*").over(Window.partitionBy()))
     a, b = F.round(F.col("_n") * test), F.round(F.col("_n") * validation)
     return ranked.withColumn("split", F.when(F.col("_r") <= a, "test").when(F.col("_r") <= a + b, "validation").otherwise("train")).drop("_r", "_n")
+
+
+def replicate_means(rows: DataFrame, category: str, sample: str, score: str, least: int = 3) -> DataFrame:
+    """Mean, population deviation and size of each sample of a category; samples with fewer than ``least`` rows go."""
+    return rows.groupBy(category, sample).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count(score).alias("n")).filter(F.col("n") >= least)
+
+
+def density(rows: DataFrame, value: str, bandwidth: float, points: int = 100, fine: int = 1024) -> DataFrame:
+    """Gaussian kernel density on ``points`` even places from least to greatest value: (place, at, density).
+
+    Values are first counted in ``fine`` bins, so that work beyond one pass over the rows is bounded by bins times places.
+    """
+    ends = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("total"))
+    width = (F.col("hi") - F.col("lo")) / fine
+    bins = rows.filter(F.col(value).isNotNull()).join(F.broadcast(ends), F.lit(True)).groupBy(F.when(width > 0, F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(fine - 1))).otherwise(0).alias("bin"), "lo", "hi", "total").agg(F.count("*").alias("n"))
+    at = F.col("lo") + F.col("place") * (F.col("hi") - F.col("lo")) / (points - 1)
+    spread = bins.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", at).withColumn("z", (F.col("at") - F.col("lo") - (F.col("bin") + 0.5) * width) / bandwidth)
+    kernel = F.exp(-F.pow("z", 2) / 2) / (bandwidth * math.sqrt(2 * math.pi))
+    return spread.groupBy("place", "at").agg(F.sum(F.col("n") * kernel / F.col("total")).alias("density"))
+
+
+def natural_order(rows: DataFrame, category: str) -> DataFrame:
+    """Distinct categories with their place: whole numbers first by value, then the others by text."""
+    number = F.expr(f"try_cast({category} as bigint)")
+    return rows.select(category).distinct().withColumn("place", F.row_number().over(Window.orderBy(number.asc_nulls_last(), category)))
+
+
+def percent_subset(rows: DataFrame, key: str, seed: str, share: float) -> DataFrame:
+    """round(share * n) of the keys, the first by hash with ``seed``. Split as in ``hashed_split``."""
+    return hashed_split(rows, key, seed, share, 0.0).filter("split = 'test'").select(key)

@@ -32,3 +32,29 @@ def ensemble(responses: DataFrame, weights: DataFrame, how: str = "mean") -> Dat
     rows = responses.join(F.broadcast(weights), "detector").withColumn("v", F.col("value") * F.col("weight"))
     f = F.avg if how == "mean" else F.max
     return rows.groupBy("image", "row", "col").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), f("v"))).alias("value"))
+
+
+def correlation(pixels: DataFrame, image: str) -> DataFrame:
+    """Pearson correlation of every image with ``image`` over the pixels that both have: (image, n, correlation); null where a side is constant."""
+    base = pixels.filter(F.col("image") == image).select("row", "col", F.col("value").alias("base"))
+    rows = pixels.join(base, ["row", "col"]).groupBy("image").agg(F.count("*").alias("n"), F.corr("value", "base").alias("correlation"))
+    return rows.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
+
+
+def median_filter(pixels: DataFrame, distance: int) -> DataFrame:
+    """Median of the pixels that exist within ``distance`` rows and columns of each."""
+    near = F.explode(F.sequence(F.lit(-distance), F.lit(distance)))
+    spread = pixels.withColumn("i", near).withColumn("j", near).select("image", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col"), "value", ((F.col("i") == 0) & (F.col("j") == 0)).alias("own"))
+    return spread.groupBy("image", "row", "col").agg(F.median("value").alias("value"), F.bool_or("own").alias("own")).filter("own").drop("own")
+
+
+def trimmed(pixels: DataFrame, cutoff: float, padding: int = 0) -> DataFrame:
+    """Pixels between the first and last row and column with a value above ``cutoff``, and ``padding`` around; empty images go."""
+    own, bright = Window.partitionBy("image"), F.col("value") > cutoff
+    out = pixels
+    for c in ("row", "col"):
+        for name, f in (("min", F.min), ("max", F.max)):
+            out = out.withColumn(f"{c}_{name}", f(F.when(bright, F.col(c))).over(own))
+    for c in ("row", "col"):
+        out = out.filter(F.col(c).between(F.col(f"{c}_min") - padding, F.col(f"{c}_max") + padding))
+    return out.select(*pixels.columns)

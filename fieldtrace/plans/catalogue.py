@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry
-from fieldtrace.operators import annotations, groups, linking, pixels, spatial, tracks
+from fieldtrace.operators import annotations, groups, linking, pixels, series, spatial, tracks
 from fieldtrace.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -378,3 +378,81 @@ def pixel_blocks(spark, sf_dir):
   AND (b.value > a.value OR (b.value = a.value AND (b."row" < a."row" OR (b."row" = a."row" AND b.col < a.col)))))""")
 def pixel_peaks(spark, sf_dir):
     return pixels.peaks(T.pixels(spark, sf_dir), 1, 30)
+
+
+@query("unwrapped_heading", f"""WITH {NEXT}, h AS (SELECT track, tp, atan2(dy, dx) AS a FROM ve), u AS (SELECT *, coalesce(round((a - lag(a) OVER (PARTITION BY track ORDER BY tp)) / (2 * pi())), 0) AS k FROM h)
+  SELECT track, tp, round(degrees(a - 2 * pi() * sum(k) OVER (PARTITION BY track ORDER BY tp ROWS UNBOUNDED PRECEDING)), 4) AS angle FROM u""")
+def unwrapped_heading(spark, sf_dir):
+    return series.unwrapped(tracks.velocity(T.track_points(spark, sf_dir)), "heading")
+
+
+@query("gaussian_smooth", f"""WITH {POINTS}, k AS (SELECT k, exp(-k * k / 2.0) / sum(exp(-k * k / 2.0)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS k)),
+  p AS (SELECT track, tp, count(*) OVER (PARTITION BY track) AS n FROM tp), s AS (SELECT track, tp, n, w, ((tp + k) % (2 * n) + 2 * n) % (2 * n) AS m FROM p, k)
+  SELECT s.track, s.tp, round(sum(w * x), 4) AS x_smooth FROM s JOIN tp v ON v.track = s.track AND v.tp = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL""")
+def gaussian_smooth(spark, sf_dir):
+    return series.gaussian(T.track_points(spark, sf_dir), "x")
+
+
+@query("even_timeline", f"""WITH {POINTS}, g AS (SELECT track, t / 720 AS t0, lead(t / 720) OVER w AS t1, x, lead(x) OVER w AS x1 FROM tp WINDOW w AS (PARTITION BY track ORDER BY tp)),
+  e AS (SELECT *, unnest(range(CAST(ceil(t0) AS BIGINT), CAST(CASE WHEN t1 IS NULL THEN floor(t0) + 1 ELSE ceil(t1) END AS BIGINT))) AS frame FROM g)
+  SELECT track, frame, round(CASE WHEN t1 IS NULL THEN x ELSE x + (x1 - x) * (frame - t0) / (t1 - t0) END, 4) AS x FROM e""")
+def even_timeline(spark, sf_dir):
+    return series.even(T.track_points(spark, sf_dir).withColumn("t", F.col("t") / 720), "t", ["x"])
+
+
+@query("widest_waveforms", f"""WITH {POINTS}, g AS (SELECT track, row_number() OVER (ORDER BY max(x) - min(x) DESC, track) - 1 AS rank FROM tp GROUP BY track HAVING count(*) > 1)
+  SELECT track, CAST(rank AS INTEGER) AS rank, tp, round(coalesce(x, 0) + rank * 50, 4) AS x FROM tp JOIN g USING (track) WHERE rank < 10""")
+def widest_waveforms(spark, sf_dir):
+    return series.waveforms(T.track_points(spark, sf_dir), "x", 10, 50)
+
+
+@query("adjacent_frames", """WITH d AS (SELECT DISTINCT user_id AS series, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS tp FROM events)
+  SELECT a.series, a.tp, b.tp AS next FROM d a JOIN d b ON a.series = b.series AND b.tp = a.tp + 1""")
+def adjacent_frames(spark, sf_dir):
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    return series.adjacent(T.read(spark, sf_dir, "events").select(F.col("user_id").alias("series"), day.alias("tp")).distinct(), ["series"], "tp")
+
+
+@query("timeline_complement", f"WITH {FRAMES}, u AS (SELECT tp, pt FROM de WHERE score > 0.5 UNION SELECT tp, pt FROM de WHERE score < 0.001) SELECT tp, pt FROM de WHERE tp IN (SELECT tp FROM u) AND (tp, pt) NOT IN (SELECT (tp, pt) FROM u)")
+def timeline_complement(spark, sf_dir):
+    d = T.detections(spark, sf_dir)
+    return series.timeline_complement(d, d.filter("score > 0.5"), d.filter("score < 0.001"))
+
+
+@query("pixel_correlation", f"""WITH {PIXELS} SELECT a.image, count(*) AS n, CASE WHEN NOT isnan(corr(a.value, b.value)) THEN round(corr(a.value, b.value), 4) END AS correlation FROM px a JOIN px b ON b."row" = a."row" AND b.col = a.col AND b.image = 'Brand#11' GROUP BY a.image""")
+def pixel_correlation(spark, sf_dir):
+    return pixels.correlation(T.pixels(spark, sf_dir), "Brand#11")
+
+
+@query("pixel_median", f"""WITH {PIXELS} SELECT a.image, a."row", a.col, round(median(b.value), 4) AS value FROM px a JOIN px b ON b.image = a.image AND abs(b."row" - a."row") <= 1 AND abs(b.col - a.col) <= 1 GROUP BY ALL""")
+def pixel_median(spark, sf_dir):
+    return pixels.median_filter(T.pixels(spark, sf_dir), 1)
+
+
+@query("pixel_trim", f"""WITH {PIXELS}, m AS (SELECT image, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM px WHERE value > 45 GROUP BY image)
+  SELECT px.* FROM px JOIN m USING (image) WHERE "row" BETWEEN r0 - 1 AND r1 + 1 AND col BETWEEN c0 - 1 AND c1 + 1""")
+def pixel_trim(spark, sf_dir):
+    return pixels.trimmed(T.pixels(spark, sf_dir), 45, 1)
+
+
+@query("replicate_means", f"""SELECT l_returnflag, l_suppkey, {r('avg(l_extendedprice) AS mean', 'stddev_pop(l_extendedprice) AS std', decimals=2)}, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) >= 3""", 2)
+def replicate_means(spark, sf_dir):
+    return groups.replicate_means(T.read(spark, sf_dir, "lineitem"), "l_returnflag", "l_suppkey", "l_extendedprice")
+
+
+@query("kernel_density", """WITH e AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS total FROM events), b AS (SELECT least(floor((value - lo) / ((hi - lo) / 1024)), 1023) AS bin, count(*) AS n FROM events, e WHERE value IS NOT NULL GROUP BY 1)
+  SELECT CAST(place AS INTEGER) AS place, round(lo + place * (hi - lo) / 99, 6) AS at, round(sum(n * exp(-power((place * (hi - lo) / 99 - (bin + 0.5) * (hi - lo) / 1024) / 5, 2) / 2) / (5 * sqrt(2 * pi())) / total), 6) AS density
+  FROM b, e, (SELECT unnest(range(100)) AS place) GROUP BY place, lo, hi""", 6)
+def kernel_density(spark, sf_dir):
+    return groups.density(T.read(spark, sf_dir, "events"), "value", 5.0)
+
+
+@query("natural_order", """WITH c AS (SELECT DISTINCT c FROM (SELECT CAST(p_size AS VARCHAR) AS c FROM part UNION ALL SELECT p_brand FROM part)) SELECT c, CAST(row_number() OVER (ORDER BY TRY_CAST(c AS BIGINT) NULLS LAST, c) AS INTEGER) AS place FROM c""")
+def natural_order(spark, sf_dir):
+    part = T.read(spark, sf_dir, "part")
+    return groups.natural_order(part.select(F.col("p_size").cast("string").alias("c")).union(part.select("p_brand")), "c")
+
+
+@query("percent_subset", """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('3/' || o_orderkey), o_orderkey) AS k, count(*) OVER () AS n FROM orders) SELECT o_orderkey FROM o WHERE k <= round(n * 0.25)""")
+def percent_subset(spark, sf_dir):
+    return groups.percent_subset(T.read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "3", 0.25)
