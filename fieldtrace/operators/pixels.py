@@ -58,3 +58,54 @@ def trimmed(pixels: DataFrame, cutoff: float, padding: int = 0) -> DataFrame:
     for c in ("row", "col"):
         out = out.filter(F.col(c).between(F.col(f"{c}_min") - padding, F.col(f"{c}_max") + padding))
     return out.select(*pixels.columns)
+
+
+def equalised(pixels: DataFrame, levels: int = 256) -> DataFrame:
+    """Values replaced by the share of their image's pixels at or below their level; ``levels`` even levels of 0..1 after ``contrast``."""
+    rows = contrast(pixels).withColumn("level", F.least(F.floor(F.col("value") * levels), F.lit(levels - 1)))
+    counts = rows.groupBy("image", "level").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("image")
+    share = F.sum("n").over(own.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(own)
+    return rows.join(counts.select("image", "level", share.alias("share")), ["image", "level"]).select("image", "row", "col", F.col("share").alias("value"))
+
+
+def expanded(pixels: DataFrame, n: int) -> DataFrame:
+    """Each pixel as n by n pixels of its value."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return pixels.withColumn("i", each).withColumn("j", each).select("image", (F.col("row") * n + F.col("i")).alias("row"), (F.col("col") * n + F.col("j")).alias("col"), "value")
+
+
+def local_intensity(points: DataFrame, pixels: DataFrame, least: float) -> DataFrame:
+    """Points (image, pt, row, col) whose mean over the 4 by 4 block from two before to one after is ``least`` or more, as ``intensity``."""
+    near = F.explode(F.sequence(F.lit(-2), F.lit(1)))
+    block = points.withColumn("i", near).withColumn("j", near).select("image", "pt", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col"))
+    return block.join(pixels, ["image", "row", "col"]).groupBy("image", "pt").agg(F.avg("value").alias("intensity")).filter(F.col("intensity") >= least)
+
+
+def disk_mask(points: DataFrame, radius: int) -> DataFrame:
+    """Pixels (image, row, col) within ``radius`` of a point, each with its closeness 1 - distance / (radius + 1) to the nearest."""
+    near = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+    spread = points.withColumn("i", near).withColumn("j", near).withColumn("d", F.sqrt(F.pow("i", 2) + F.pow("j", 2))).filter(F.col("d") <= radius)
+    return spread.groupBy("image", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col")).agg((1 - F.min("d") / (radius + 1)).alias("closeness"))
+
+
+def circles(points: DataFrame, radius: float, vertices: int) -> DataFrame:
+    """(image, pt, vertex, x, y): even vertices of a circle around each point, from the angle 0."""
+    turn = F.col("vertex") * 2 * F.pi() / vertices
+    rows = points.withColumn("vertex", F.explode(F.sequence(F.lit(0), F.lit(vertices - 1))))
+    return rows.select("image", "pt", "vertex", (F.col("col") + radius * F.cos(turn)).alias("x"), (F.col("row") + radius * F.sin(turn)).alias("y"))
+
+
+def box_mask(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Pixels (image, row, col) inside at least one box (image, r0, r1, c0, c1), both ends included."""
+    rows = boxes.select("image", F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1").select("image", "row", F.explode(F.sequence("c0", "c1")).alias("col")).distinct()
+    return pixels.select("image", "row", "col").join(rows, ["image", "row", "col"], "left_semi")
+
+
+def overlap_search(fixed: DataFrame, moving: DataFrame, search: int, least: int = 5) -> DataFrame:
+    """For each image of ``moving``, every shift of up to ``search`` rows and columns with at least ``least`` shared pixels, by correlation: (image, dr, dc, n, similarity, rank)."""
+    shift = F.explode(F.sequence(F.lit(-search), F.lit(search)))
+    moved = moving.withColumn("dr", shift).withColumn("dc", shift).select("image", "dr", "dc", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), F.col("value").alias("other"))
+    both = moved.join(fixed.select("row", "col", "value"), ["row", "col"]).groupBy("image", "dr", "dc")
+    found = both.agg(F.count("*").alias("n"), F.corr("value", "other").alias("similarity")).filter(F.col("n") >= least).withColumn("similarity", F.when(~F.isnan("similarity"), F.round("similarity", 9)))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("image").orderBy(F.desc_nulls_last("similarity"), "dr", "dc")))

@@ -61,3 +61,44 @@ def timeline_complement(points: DataFrame, *listed: DataFrame) -> DataFrame:
         union = union.union(more.select("tp", "pt"))
     union = union.distinct()
     return points.select("tp", "pt").join(union.select("tp").distinct(), "tp", "left_semi").join(union, ["tp", "pt"], "left_anti")
+
+
+def padded(values: DataFrame, field: str, first: int, last: int, extrapolate: bool = False) -> DataFrame:
+    """(track, frame, field) on all whole times ``first`` to ``last``, from values at whole times (track, frame, field).
+
+    Between two known times values are linear; outside a track they are null, or its end value where ``extrapolate``.
+    """
+    known = values.filter(F.col(field).isNotNull()).select("track", "frame", F.col(field).alias("v"))
+    span = Window.partitionBy("track").orderBy("frame")
+    rows = known.withColumn("next", F.lead("frame").over(span)).withColumn("v_next", F.lead("v").over(span)).withColumn("before", F.lag("frame").over(span))
+    start = F.when(F.col("before").isNull() & F.lit(extrapolate), F.least(F.lit(first), "frame")).otherwise(F.col("frame"))
+    stop = F.when(F.col("next").isNotNull(), F.col("next") - 1).otherwise(F.greatest(F.lit(last), "frame") if extrapolate else F.col("frame"))
+    part = F.when(F.col("next").isNotNull() & (F.col("at") > F.col("frame")), (F.col("at") - F.col("frame")) / (F.col("next") - F.col("frame")) * (F.col("v_next") - F.col("v"))).otherwise(0.0)
+    filled = rows.withColumn("at", F.explode(F.sequence(start, stop))).filter(F.col("at").between(first, last)).select("track", F.col("at").alias("frame"), (F.col("v") + part).alias(field))
+    if extrapolate:
+        return filled
+    every = known.select("track").distinct().withColumn("frame", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+    return every.join(filled, ["track", "frame"], "left")
+
+
+def joined_tracks(points: DataFrame, joins: DataFrame) -> DataFrame:
+    """Points under new track ids, from joins (track, head): a track that no join names keeps its own."""
+    return points.join(joins.select("track", "head"), "track", "left").withColumn("track", F.coalesce("head", "track")).drop("head")
+
+
+def persistence_timeline(points: DataFrame, flag: str, width: float) -> DataFrame:
+    """Share of the points of each stretch of ``width`` in time that bear ``flag``, with their number: (stretch, share, n)."""
+    return points.filter(F.col(flag).isNotNull()).groupBy(F.floor(F.col("t") / width).alias("stretch")).agg(F.avg(F.col(flag).cast("double")).alias("share"), F.count("*").alias("n"))
+
+
+def padded_boxes(points: DataFrame, pad: float, width: float, height: float) -> DataFrame:
+    """Whole-number box of each track, ``pad`` wider on all sides, cut to the image: (track, x0, y0, x1, y1)."""
+    low = lambda c: F.greatest(F.floor(F.min(c)) - pad, F.lit(0.0)).cast("double")
+    high = lambda c, end: F.least(F.ceil(F.max(c)) + pad, F.lit(end)).cast("double")
+    return points.groupBy("track").agg(low("x").alias("x0"), low("y").alias("y0"), high("x", float(width)).alias("x1"), high("y", float(height)).alias("y1"))
+
+
+def key_times(points: DataFrame) -> DataFrame:
+    """First, middle (rounded) and last but one whole times of the frames, in one row; with two frames or fewer the last itself."""
+    ends = points.agg(F.min("tp").alias("first"), F.max("tp").alias("last"))
+    return ends.select("first", F.round((F.col("first") + F.col("last")) / 2).cast("int").alias("middle"), F.when(F.col("last") - F.col("first") > 1, F.col("last") - 1).otherwise(F.col("last")).alias("late"))
