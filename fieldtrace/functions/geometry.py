@@ -55,6 +55,7 @@ def scale(v: Column, factor: float) -> Column:
 
 def by_angle(v: Column) -> Column:
     """Vertices in order of their angle around the mean vertex."""
-    mean = {c: F.aggregate(v, F.lit(0.0), lambda s, p, c=c: s + p[c]) / F.size(v) for c in "xy"}
+    middle = lambda c: F.aggregate(v, F.lit(0.0), lambda s, p: s + p[c]) / F.size(v)
+    mean = {c: middle(c) for c in "xy"}
     keyed = F.transform(v, lambda p: F.struct(F.atan2(p["y"] - mean["y"], p["x"] - mean["x"]).alias("a"), p["x"].alias("x"), p["y"].alias("y")))
     return F.transform(F.array_sort(keyed), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrace.functions import geometry
+
 TRIANGLES = "tp int, a int, b int, c int, xa double, ya double, xb double, yb double, xc double, yc double"
 
 
@@ -140,3 +144,89 @@ def imputed(points: DataFrame, edges: DataFrame, links: DataFrame, least: int =
     mean = both_ways(edges).join(steps, ["tp", "near"]).groupBy("tp", "pt").agg(F.avg("dx").alias("dx"), F.avg("dy").alias("dy"), F.count("*").alias("n")).filter(F.col("n") >= least)
     lone = points.select("tp", "pt", "x", "y").join(links.select("tp", F.col("pt1").alias("pt")), ["tp", "pt"], "left_anti")
     return lone.join(mean, ["tp", "pt"]).select("tp", "pt", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "n")
+
+
+def circumradius() -> Column:
+    """Radius of a triangle's circle; null where its corners are on one line."""
+    side = lambda u, v: F.hypot(F.col(f"x{u}") - F.col(f"x{v}"), F.col(f"y{u}") - F.col(f"y{v}"))
+    return F.when(triangle_area() > 0, side("a", "b") * side("b", "c") * side("a", "c") / (4 * triangle_area()))
+
+
+def alpha_shape(triangles: DataFrame, alpha: float) -> DataFrame:
+    """Outline (tp, a, b) of the triangles whose circle is smaller than ``alpha``: the sides that an odd number of these share."""
+    return _sides(triangles.filter(circumradius() < alpha)).filter("n % 2 = 1").select("tp", "a", "b")
+
+
+def loops(outline: DataFrame) -> DataFrame:
+    """(tp, loop, place, pt): closed walks over the outline (tp, a, b) of each frame, from its least point on; dead ends are left out.
+
+    Only outline edges of one frame meet in a task. Where loops touch in a point, a walk leaves on the first free edge by number.
+    """
+
+    def frame(rows: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, set[int]] = {}
+        for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        found = []
+        for start in sorted(near):
+            while near[start]:
+                walk = [start]
+                while near[walk[-1]]:
+                    step = min(near[walk[-1]])
+                    near[walk[-1]].discard(step)
+                    near[step].discard(walk[-1])
+                    if step in walk:
+                        cut = walk.index(step)
+                        if len(walk) - cut >= 3:
+                            found.append(walk[cut:])
+                        walk = walk[: cut + 1]
+                    else:
+                        walk.append(step)
+        out = [(rows["tp"].iloc[0], i, k, pt) for i, walk in enumerate(found) for k, pt in enumerate(walk)]
+        return pd.DataFrame(out, columns=["tp", "loop", "place", "pt"])
+
+    return outline.groupBy("tp").applyInPandas(frame, "tp int, loop int, place int, pt int")
+
+
+def longest_loop(walks: DataFrame) -> DataFrame:
+    """Per frame the loop of most points, the first of equals."""
+    size = walks.groupBy("tp", "loop").agg(F.count("*").alias("n")).groupBy("tp").agg(F.max_by("loop", F.struct("n", -F.col("loop"))).alias("loop"))
+    return walks.join(size, ["tp", "loop"], "left_semi")
+
+
+def sector_rim(points: DataFrame, sectors: int) -> DataFrame:
+    """The farthest point from the frame's mean in each of ``sectors`` even sectors around it: (tp, pt, x, y)."""
+    mean = points.groupBy("tp").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    rows = points.join(mean, "tp").withColumn("dx", F.col("x") - F.col("mx")).withColumn("dy", F.col("y") - F.col("my"))
+    sector = F.floor((F.atan2("dy", "dx") + F.pi()) / (2 * F.pi()) * sectors)
+    best = rows.groupBy("tp", sector.alias("sector")).agg(F.max_by(F.struct("pt", "x", "y"), F.struct(F.round(F.pow("dx", 2) + F.pow("dy", 2), 6), -F.col("pt"))).alias("p"))
+    return best.select("tp", "p.pt", "p.x", "p.y")
+
+
+def warped(points: DataFrame, rim: DataFrame, steps: int, most: float | None = None, inverse: bool = False) -> DataFrame:
+    """Points (tp, pt, x, y) with their distance from the rim's centroid divided by the rim's distance at their angle.
+
+    The rim (tp, x, y) is interpolated at ``steps`` even angles, and between these for each point. Beyond ``most`` rims both
+    coordinates are null. ``inverse`` takes points of the unit circle back to the frame.
+    """
+    order = Window.partitionBy("tp").orderBy("theta")
+    vertex = geometry.by_angle(F.collect_list(F.struct("x", "y")))
+    centre = rim.groupBy("tp").agg(geometry.centroid(vertex).alias("c")).select("tp", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+    polar = rim.join(centre, "tp").select("tp", F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")).alias("theta"), F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")).alias("radius"))
+    own, step = Window.partitionBy("tp"), 2 * math.pi / steps
+    ring = polar.select("*", F.coalesce(F.lead("theta").over(order), F.min("theta").over(own) + 2 * math.pi).alias("theta1"), F.coalesce(F.lead("radius").over(order), F.min_by("radius", "theta").over(own)).alias("radius1"))
+    first, last = F.ceil(F.col("theta") / step), F.ceil(F.col("theta1") / step) - 1
+    grid = ring.filter(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    part = (F.col("k") * step - F.col("theta")) / (F.col("theta1") - F.col("theta"))
+    grid = grid.select("tp", F.pmod("k", F.lit(steps)).alias("k"), (F.col("radius") + (F.col("radius1") - F.col("radius")) * part).alias("edge"))
+    shift = (F.lit(0.0), F.lit(0.0)) if inverse else (F.col("cx"), F.col("cy"))
+    rows = points.join(centre, "tp").withColumn("dx", F.col("x") - shift[0]).withColumn("dy", F.col("y") - shift[1]).withColumn("place", F.atan2("dy", "dx") / step)
+    rows = rows.withColumn("low", F.floor("place")).withColumn("k0", F.pmod("low", F.lit(steps))).withColumn("k1", F.pmod(F.col("low") + 1, F.lit(steps)))
+    for i in (0, 1):
+        rows = rows.join(grid.select("tp", F.col("k").alias(f"k{i}"), F.col("edge").alias(f"edge{i}")), ["tp", f"k{i}"])
+    edge = F.col("edge0") + (F.col("edge1") - F.col("edge0")) * (F.col("place") - F.col("low"))
+    if inverse:
+        return rows.select("tp", "pt", (F.col("cx") + F.col("dx") * edge).alias("x"), (F.col("cy") + F.col("dy") * edge).alias("y"))
+    inside = F.lit(True) if most is None else F.hypot("dx", "dy") / edge <= most
+    return rows.select("tp", "pt", *[F.when(inside, F.col(f"d{c}") / edge).alias(c) for c in "xy"])

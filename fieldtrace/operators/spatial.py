@@ -83,3 +83,10 @@ def gap_candidates(tracks: DataFrame, max_lag: float, max_dist: float) -> DataFr
     pairs = ends.join(starts, ["cx", "cy", "ct"]).filter("a <> b").withColumn("lag", F.col("t0") - F.col("t1")).withColumn("dist", F.sqrt(F.pow(F.col("x1") - F.col("sx"), 2) + F.pow(F.col("y1") - F.col("sy"), 2)))
     best = pairs.filter((F.col("lag") > 0) & (F.col("lag") <= max_lag) & (F.col("dist") <= max_dist)).groupBy("a").agg(F.min(F.struct("lag", "dist", "b")).alias("m"))
     return best.select(F.col("a").alias("track"), F.col("m.b").alias("next"), F.col("m.lag").alias("lag"), F.col("m.dist").alias("dist"))
+
+
+def clustered(points: DataFrame, radius: float) -> DataFrame:
+    """Points (tp, pt, x, y) merged in balls: each point goes to the first point, by ``pt``, within ``radius``, itself included; (tp, head, x, y, n) are means."""
+    whole = points.filter("x is not null and y is not null")
+    heads = grid_join(whole, whole, radius).groupBy("tp", "pt2").agg(F.min("pt1").alias("head"), F.first("x2").alias("x"), F.first("y2").alias("y"))
+    return heads.groupBy("tp", "head").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))

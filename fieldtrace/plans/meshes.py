@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fieldtrace.operators import mesh, spatial
-from fieldtrace.plans.catalogue import PAIRS, RADIUS, query, r
+from fieldtrace.operators import linking, mesh, spatial
+from fieldtrace.plans.catalogue import FRAMES, PAIRS, RADIUS, query, r
 from fieldtrace.sources import tables as T
 
 NEAR = PAIRS + f""", ed AS (SELECT a.tp, a.pt AS a, b.pt AS b FROM de a JOIN de b ON a.tp = b.tp AND a.pt < b.pt AND abs(a.x - b.x) <= {RADIUS} AND abs(a.y - b.y) <= {RADIUS}
@@ -60,3 +60,53 @@ def mesh_area(spark, sf_dir):
 @query("mesh_boundary")
 def mesh_boundary(spark, sf_dir):
     return mesh.boundary(mesh.delaunay(T.detections(spark, sf_dir), 50.0))
+
+
+@query("clustered_points", f"""WITH {FRAMES}, h AS (SELECT b.tp, b.pt, any_value(b.x) AS x, any_value(b.y) AS y, min(a.pt) AS head FROM de a JOIN de b ON a.tp = b.tp AND abs(a.x - b.x) <= {RADIUS} AND abs(a.y - b.y) <= {RADIUS}
+  WHERE sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= {RADIUS} GROUP BY b.tp, b.pt) SELECT tp, head, {r('avg(x) AS x', 'avg(y) AS y')}, count(*) AS n FROM h GROUP BY ALL""")
+def clustered_points(spark, sf_dir):
+    return spatial.clustered(T.detections(spark, sf_dir), RADIUS)
+
+
+@query("point_groups", f"""WITH RECURSIVE {NEAR}, re AS (SELECT tp, pt, near FROM bo UNION SELECT re.tp, re.pt, bo.near FROM re JOIN bo ON re.tp = bo.tp AND re.near = bo.pt) SELECT tp, pt, min(least(near, pt)) AS root FROM re GROUP BY tp, pt""")
+def point_groups(spark, sf_dir):
+    edges = _graph(spark, sf_dir)[1].selectExpr("struct(tp, a AS pt) AS u", "struct(tp, b AS pt) AS v")
+    return linking.components(edges).selectExpr("node.tp AS tp", "node.pt AS pt", "root.pt AS root")
+
+
+@query("matched_pairs")
+def matched_pairs(spark, sf_dir):
+    return linking.matched(spatial.next_frames(T.detections(spark, sf_dir), RADIUS, strict=True).select("tp", "pt1", "pt2", "dist"), RADIUS)
+
+
+RIM = FRAMES + """, ce AS (SELECT tp, avg(x) AS mx, avg(y) AS my FROM de GROUP BY tp), se AS (SELECT tp, pt, x, y, floor((atan2(y - my, x - mx) + pi()) / (2 * pi()) * 12) AS s, round(power(x - mx, 2) + power(y - my, 2), 6) AS d FROM de JOIN ce USING (tp)),
+  ri AS (SELECT tp, pt, x, y FROM se QUALIFY row_number() OVER (PARTITION BY tp, s ORDER BY d DESC, pt) = 1)"""
+
+
+@query("sector_rim", f"WITH {RIM} SELECT tp, pt, {r('x', 'y')} FROM ri")
+def sector_rim(spark, sf_dir):
+    return mesh.sector_rim(T.detections(spark, sf_dir), 12)
+
+
+@query("warped_points", f"""WITH {RIM}, an AS (SELECT *, atan2(y - avg(y) OVER f, x - avg(x) OVER f) AS a FROM ri WINDOW f AS (PARTITION BY tp)),
+  ed AS (SELECT tp, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS u, coalesce(lead(y) OVER w, first(y) OVER w) AS v FROM an WINDOW w AS (PARTITION BY tp ORDER BY a)),
+  cc AS (SELECT tp, sum((x + u) * (x * v - u * y)) / (3 * sum(x * v - u * y)) AS cx, sum((y + v) * (x * v - u * y)) / (3 * sum(x * v - u * y)) AS cy FROM ed GROUP BY tp),
+  po AS (SELECT tp, atan2(y - cy, x - cx) AS t0, sqrt(power(x - cx, 2) + power(y - cy, 2)) AS r0 FROM ri JOIN cc USING (tp)),
+  rg AS (SELECT tp, t0, r0, coalesce(lead(t0) OVER w, first(t0) OVER w + 2 * pi()) AS t1, coalesce(lead(r0) OVER w, first(r0) OVER w) AS r1 FROM po WINDOW w AS (PARTITION BY tp ORDER BY t0)),
+  gr AS (SELECT tp, (k + 36) % 36 AS k, r0 + (r1 - r0) * (k * pi() / 18 - t0) / (t1 - t0) AS e FROM rg, (SELECT unnest(range(-36, 73)) AS k) WHERE k * pi() / 18 >= t0 AND k * pi() / 18 < t1),
+  pt AS (SELECT tp, pt, x - cx AS dx, y - cy AS dy, atan2(y - cy, x - cx) / (pi() / 18) AS i FROM de JOIN cc USING (tp)),
+  wa AS (SELECT pt.*, g0.e + (g1.e - g0.e) * (i - floor(i)) AS e FROM pt JOIN gr g0 ON g0.tp = pt.tp AND g0.k = (floor(i) + 36) % 36 JOIN gr g1 ON g1.tp = pt.tp AND g1.k = (floor(i) + 37) % 36)
+  SELECT tp, pt, {r('CASE WHEN sqrt(dx * dx + dy * dy) / e <= 1.2 THEN dx / e END AS x', 'CASE WHEN sqrt(dx * dx + dy * dy) / e <= 1.2 THEN dy / e END AS y')} FROM wa""")
+def warped_points(spark, sf_dir):
+    d = T.detections(spark, sf_dir)
+    return mesh.warped(d, mesh.sector_rim(d, 12), 36, 1.2)
+
+
+@query("longest_perimeter")
+def longest_perimeter(spark, sf_dir):
+    return mesh.longest_loop(mesh.loops(mesh.boundary(mesh.delaunay(T.detections(spark, sf_dir), 50.0))))
+
+
+@query("alpha_outline")
+def alpha_outline(spark, sf_dir):
+    return mesh.alpha_shape(mesh.delaunay(T.detections(spark, sf_dir), 1000.0), 30.0)

@@ -39,3 +39,21 @@ def test_divergence_by_hand(spark):
     links = spark.createDataFrame([(1, 0, 0), (1, 1, 1)], "tp int, pt1 int, pt2 int")
     found = {(r.tp, r.pt): r.rate for r in mesh.divergence(fields, links, "area", 0.5).collect()}
     assert found == {(1, 0): 2.0, (1, 1): -2.0, (2, 0): 2.0, (2, 1): -2.0}
+
+
+def test_loops_and_alpha(spark):
+    rows = [(1, i, float(i % 4), float(i // 4)) for i in range(16)] + [(2, i, float(i), 0.0) for i in range(4)]
+    t = mesh.delaunay(spark.createDataFrame(rows, "tp int, pt int, x double, y double"), 1.5)
+    walk = [r.pt for r in mesh.longest_loop(mesh.loops(mesh.boundary(t))).orderBy("place").collect()]
+    assert walk[0] == 0 and len(walk) == 12 and set(walk) == set(range(16)) - {5, 6, 9, 10}
+    assert {(r.a, r.b) for r in mesh.alpha_shape(t, 0.8).collect()} == {(r.a, r.b) for r in mesh.boundary(t).collect()}
+    assert mesh.alpha_shape(t, 0.1).count() == 0
+
+
+def test_warp_there_and_back(spark):
+    rng = np.random.default_rng(2)
+    points = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(60, 2)) * 20 + 7)], "tp int, pt int, x double, y double")
+    rim = mesh.sector_rim(points, 12)
+    back = mesh.warped(mesh.warped(points, rim, 72), rim, 72, inverse=True)
+    got, want = ({r.pt: (r.x, r.y) for r in df.collect()} for df in (back, points))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
