@@ -41,8 +41,9 @@ def triangulate(xy: np.ndarray) -> np.ndarray:
     for i in np.argsort(p[:n, 0], kind="stable"):
         hit = np.flatnonzero(((circles[:used, :2] - p[i]) ** 2).sum(1) < circles[:used, 2])
         sides = np.sort(corners[hit][:, [[0, 1], [1, 2], [0, 2]]].reshape(-1, 2), 1)
-        rim, times = np.unique(sides, axis=0, return_counts=True)
-        new = np.column_stack([rim[times == 1], np.full((times == 1).sum(), i)])
+        rim, times = np.unique(sides[:, 0] * (n + 3) + sides[:, 1], return_counts=True)
+        rim = rim[times == 1]
+        new = np.column_stack([rim // (n + 3), rim % (n + 3), np.full(len(rim), i)])
         slots = np.concatenate([hit, np.arange(used, used + max(0, len(new) - len(hit)))])
         if slots.size and slots[-1] >= len(corners):
             corners, circles = np.vstack([corners, np.zeros_like(corners)]), np.vstack([circles, np.full_like(circles, -1.0)])
@@ -68,7 +69,9 @@ def delaunay(points: DataFrame, max_distance: float) -> DataFrame:
 
     whole = points.filter("x is not null and y is not null").select("tp", "pt", "x", "y")
     short = lambda u, v: F.pow(F.col(f"x{u}") - F.col(f"x{v}"), 2) + F.pow(F.col(f"y{u}") - F.col(f"y{v}"), 2) <= max_distance**2
-    return whole.groupBy("tp").applyInPandas(frame, TRIANGLES).filter(short("a", "b") & short("b", "c") & short("a", "c"))
+    # A stated number of partitions is not coalesced: rows are few here, but each frame is much work.
+    spread = whole.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tp")
+    return spread.groupBy("tp").applyInPandas(frame, TRIANGLES).filter(short("a", "b") & short("b", "c") & short("a", "c"))
 
 
 def _sides(triangles: DataFrame) -> DataFrame:
