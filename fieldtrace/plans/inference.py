@@ -55,6 +55,11 @@ def bootstrap_bounds(spark, sf_dir):
     return inference.bootstrap_bounds(T.read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber"], "l_quantity", "5", 20)
 
 
+@query("bootstrap_interval")
+def bootstrap_interval(spark, sf_dir):
+    return inference.bootstrap_interval(T.read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "5", 1000)
+
+
 @query("variance_table")
 def variance_table(spark, sf_dir):
     return inference.variance_table(_priced(spark, sf_dir), ["o_orderpriority", "l_returnflag"], "l_extendedprice", interactions=True)

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry_points
 from fieldtrace.operators import inference
 
 
@@ -57,3 +58,23 @@ def test_rank_tests_small(spark):
     assert (row.level1, row.level2, row.n1, row.n2, row.u) == ("x", "y", 3, 2, 1.0) and row.gap == pytest.approx(0.5)
     assert inference.rank_tests(spark.createDataFrame(data[:3], "c string, v double"), "c", "v").count() == 0
     assert inference.rank_tests(spark.createDataFrame([], "c string, v double"), "c", "v").count() == 0
+
+
+def test_bootstrap_interval(spark, sf_dir):
+    rng = np.random.default_rng(8)
+    data = [("a", float(v)) for v in rng.integers(1, 51, 3000)] + [("b", 1.0), ("b", 2.0), ("c", None)] + [(None, float(v)) for v in rng.normal(5, 2, 400)]
+    df = spark.createDataFrame(data, "k string, v double")
+    found = {r.k: r for r in inference.bootstrap_interval(df.repartition(7), ["k"], "v", "5", 1000).collect()}
+    again = {r.k: r for r in inference.bootstrap_interval(df.coalesce(1), ["k"], "v", "5", 1000).collect()}
+    assert set(found) == {"a", "b", None} and (found["b"].n, found["b"].mean, found["b"].lo, found["b"].hi) == (2, 1.5, None, None)
+    for k in ("a", None):
+        values = np.array([v for x, v in data if x == k])
+        wide = 1.96 * values.std() / len(values) ** 0.5
+        assert found[k].n == len(values) and found[k].mean == pytest.approx(values.mean())
+        assert [found[k].lo, found[k].hi] == pytest.approx([values.mean() - wide, values.mean() + wide], abs=0.15 * wide)
+        assert [again[k].lo, again[k].hi] == pytest.approx([found[k].lo, found[k].hi])
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    want = inference.bootstrap_interval(lines, ["l_returnflag", "l_linestatus"], "l_quantity", "5", 1000)
+    rows = lambda frame: {(r.l_returnflag, r.l_linestatus, r.n): [r.mean, r.lo, r.hi] for r in frame.collect()}
+    got, want = rows(entry_points.queries()["bootstrap_interval"](spark, sf_dir)), rows(want)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
