@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from fieldtrace.llm import licenses, lines, mixing, toxicity
+from fieldtrace.llm import licenses, lines, mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -131,28 +131,3 @@ def test_licenses(spark, odd, empty, texts):
         assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
     assert {r.labels for r in licenses.license_labels(docs).filter("doc_id = 9000000").collect()} == {"mit"}
     assert licenses.license_labels(empty).count() == 0
-
-
-def test_toxicity(spark, odd, empty):
-    rng = random.Random(7)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
-    rows, labels = [], []
-    for i in range(900):
-        bad = i % 6 == 0
-        text = [rng.choice(words) for _ in range(60)] + [rng.choice(["nasty", "vile", "awful"]) for _ in range(3)] * bad
-        rng.shuffle(text)
-        rows.append((i, " ".join(text)))
-        if i % 4 < 2:
-            labels.append((i, int(bad)))
-    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    got = {r.doc_id: r for r in toxicity.toxic_scores(docs, marks).collect()}
-    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in rows)
-    held = [i for i, _ in rows if got[i].held_out]
-    assert sum(got[i].predicted == (i % 6 == 0) for i in held) / len(held) > 0.95
-    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
-    for df, n in ((odd, odd.count()), (empty, 0)):
-        rest = toxicity.toxic_scores(df, marks).collect()
-        assert len(rest) == n
-        none = toxicity.toxic_scores(df, spark.createDataFrame([], "doc_id long, toxic int")).collect()
-        assert len(none) == n and all(r.predicted == 0 for r in none)
-    assert toxicity.without_toxic(odd, marks).columns == odd.columns
