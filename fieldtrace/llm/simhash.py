@@ -23,7 +23,7 @@ from .components import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
 #: Members of an upper node that one task handles; larger nodes are split. Fan-out of the inner groups.
-NODE, FAN, SMALL = 4096, 16, 48
+NODE, FAN = 4096, 16
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
 
@@ -63,35 +63,48 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def near_pairs(fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of ``fps`` (uint64) that differ in at most ``radius`` bits, from a hierarchy over Gray order."""
-    order = np.argsort(gray_rank(fps), kind="stable")
-    levels = [(fps[order], ~np.zeros(len(fps), np.uint64))]
-    while len(levels[-1][0]) > FAN:
-        value, mask = levels[-1]
-        starts = np.arange(0, len(value), FAN)
+def near_pairs(nodes: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of ``fps`` (uint64) of one node that differ in at most ``radius`` bits, from hierarchies over Gray order.
+
+    ``nodes`` numbers the upper node of each fingerprint. Members of a node, sorted by Gray rank, are cut into groups
+    of FAN, these into groups of groups, up to one group a node. A group keeps the bits that all its members
+    share; a pair of groups is pruned with all below it if these patterns already differ too much.
+    """
+    order = np.lexsort((gray_rank(fps), nodes))
+    value, mask, node = fps[order], ~np.zeros(len(fps), np.uint64), nodes[order]
+    levels, children = [(value, mask)], []
+    while len(node):
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        place = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
+        starts = np.flatnonzero(place % FAN == 0)
         low, high = np.bitwise_and.reduceat(value & mask, starts), np.bitwise_or.reduceat(value & mask, starts)
         mask = np.bitwise_and.reduceat(mask, starts) & ~(low ^ high)
-        levels.append((low & mask, mask))
-    n = len(levels[-1][0])
-    a, b = np.triu_indices(n)
-    stack = [(len(levels) - 1, a, b)]
+        value, node = low & mask, node[starts]
+        children.append((starts, np.diff(np.append(starts, len(place)))))
+        levels.append((value, mask))
+        if len(starts) == len(first):
+            break
+    top = np.arange(len(node))
+    stack = [(len(levels) - 1, top, top)]
     while stack:
         depth, a, b = stack.pop()
         value, mask = levels[depth]
         close = np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b]) <= radius
         a, b = a[close], b[close]
         if depth == 0:
-            pair = a < b
-            if pair.any():
-                yield order[a[pair]], order[b[pair]]
+            if len(a):
+                yield order[a], order[b]
             continue
-        size, step = len(levels[depth - 1][0]), max(1, (1 << 18) // FAN**2)
+        start, size = children[depth - 1]
+        step = max(1, (1 << 20) // FAN**2)
         for i in range(0, len(a), step):
-            x = (a[i : i + step, None, None] * FAN + np.arange(FAN)[:, None]) + np.zeros((1, 1, FAN), np.int64)
-            y = (b[i : i + step, None, None] * FAN + np.arange(FAN)) + np.zeros((1, FAN, 1), np.int64)
-            ok = (x < size) & (y < size) & (x <= y)
-            stack.append((depth - 1, x[ok], y[ok]))
+            x, y = a[i : i + step], b[i : i + step]
+            many = size[x] * size[y]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            wide = np.repeat(size[y], many)
+            x, y = np.repeat(start[x], many) + at // wide, np.repeat(start[y], many) + at % wide
+            new = x < y if depth == 1 else x <= y
+            stack.append((depth - 1, x[new], y[new]))
 
 
 def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,22 +121,11 @@ def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _node_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (a spanning forest for each node) within runs of equal keys."""
-    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-    sizes = np.diff(np.append(new, len(keys)))
+    node = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).any(axis=1)]))
     labels = np.arange(len(fps))
-    member = np.repeat(np.arange(len(new)), sizes)
-    little = np.repeat(sizes <= SMALL, sizes)
-    for shift in range(1, int(min(SMALL, sizes.max())) if (sizes <= SMALL).any() else 1):
-        same = np.flatnonzero((member[shift:] == member[:-shift]) & little[shift:])
-        if not len(same):
-            break
-        near = same[np.bitwise_count(fps[same] ^ fps[same + shift]) <= RADIUS]
-        labels = _joined(labels, near, near + shift)
-    for start, size in zip(new[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        own = np.arange(size)
-        for a, b in near_pairs(fps[start : start + size]):
-            own = _joined(own, a, b)
-        labels[start : start + size] = own + start
+    some = np.flatnonzero(np.bincount(node)[node] > 1)
+    for a, b in near_pairs(node[some], fps[some]) if len(some) else ():
+        labels = _joined(labels, some[np.minimum(a, b)], some[np.maximum(a, b)])
     at = np.flatnonzero(labels != np.arange(len(fps)))
     return fps[at], fps[labels[at]]
 
@@ -182,13 +184,19 @@ def links(distinct: DataFrame, node: int | None = None) -> DataFrame:
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, twin, fp, component_id)"""
+    """(doc_id, twin, fp, component_id, first): first is the least (doc_id, twin) of the group.
+
+    Groups are folded by fingerprint before they meet by root, and the roots' table is written, so that
+    rows of one large group are dealt by fingerprint in a join that adaptive execution can split.
+    """
     rows = cut(fingerprints(docs))
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    own = F.struct("doc_id", "twin")
+    reps = rows.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("first"))
     roots = components(links(reps))
-    joined = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(joined.join(least, "root").select("fp", "component_id"), "fp")
+    joined = cut(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = cut(joined.groupBy("root").agg(F.min("first").alias("first")))
+    named = joined.drop("first").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), "first")
+    return rows.join(cut(named), "fp")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -202,15 +210,18 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
-    """One row of each group, that with the smallest doc_id, all columns kept; of equal rows one. Rows without a doc_id stay."""
+    """One row of each group, that with the smallest doc_id, all columns kept; of equal rows one.
+
+    Rows without a doc_id stay, and so do groups of them; null and empty texts are a group of their own; texts of any
+    length count whole; other columns may have any name; an empty table gives no rows.
+    """
     names = docs.columns
     rows = _grouped(docs).filter("doc_id is not null")
-    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "twin")).alias("f"))
-    first = first.select("component_id", F.col("f.doc_id").alias("_d"), F.col("f.twin").alias("_t"))
-    doomed = rows.join(first, "component_id").filter("doc_id <> _d or twin <> _t").select(F.col("doc_id").alias("_d"), F.col("twin").alias("_t")).distinct()
-    own = docs.withColumns({"_a": F.col("doc_id").cast("long"), "_b": F.xxhash64(text_or_empty())})
-    left = own.join(doomed, (F.col("_a") == F.col("_d")) & (F.col("_b") == F.col("_t")), "left_anti")
-    again = rows.groupBy("doc_id", "twin").count().filter("count > 1").select(F.col("doc_id").alias("_d"), F.col("twin").alias("_t"))
-    same = (F.col("_a") == F.col("_d")) & (F.col("_b") == F.col("_t"))
-    once, more = left.join(again, same, "left_anti"), left.join(again, same, "left_semi").dropDuplicates(["_a", "_b"])
-    return once.select(names).union(more.select(names))
+    gone = rows.filter("doc_id <> first.doc_id or twin <> first.twin").select("doc_id", "twin").distinct()
+    #: One row for each (doc_id, text) that stays and of which there are several.
+    again = rows.groupBy("doc_id", "twin").count().filter("count > 1").select("doc_id", "twin")
+    marks = gone.withColumn("gone", F.lit(True)).join(again.withColumn("again", F.lit(True)), ["doc_id", "twin"], "full").toDF("k", "t", "gone", "again")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("twin"))
+    left = own.join(marks, (F.col("id") == F.col("k")) & (F.col("twin") == F.col("t")), "left").filter("gone is null")
+    once, more = left.filter("again is null"), left.filter("again").dropDuplicates(["id", "twin"])
+    return once.select("row.*").union(more.select("row.*"))

@@ -51,8 +51,11 @@ def test_hierarchy_finds_all_pairs():
     base = [rng.getrandbits(64) for _ in range(40)]
     values = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) & (1 << 64) - 1 for b in base for _ in range(30)})
     fps = np.array(values, np.uint64)
-    got = {tuple(sorted(p)) for a, b in simhash.near_pairs(fps) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert got == {(i, j) for j in range(len(values)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= 2}
+    for sizes in ([len(values)], [1, 2, 3, 17, 260, len(values) - 283]):
+        node = np.repeat(np.arange(len(sizes)), sizes)
+        found = [tuple(sorted(p)) for a, b in simhash.near_pairs(node, fps) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(found) == len(set(found))
+        assert set(found) == {(i, j) for j in range(len(values)) for i in range(j) if node[i] == node[j] and (values[i] ^ values[j]).bit_count() <= 2}
 
 
 def test_hot_nodes_are_split(spark):
@@ -90,3 +93,18 @@ def test_one_of_each_group_stays(spark, odd):
     assert kept.count(None) == 2 and len([k for k in kept if k is not None]) == len({k for k in kept if k is not None})
     roots = {r.component_id for r in simhash.simhash_groups(odd).collect()}
     assert {k for k in kept if k is not None} == roots - {None}
+
+
+def test_groups_of_an_empty_table(spark, empty):
+    assert simhash.first_of_group(empty).count() == 0 and simhash.first_of_group(empty).columns == empty.columns
+
+
+def test_clashing_names_of_columns(spark):
+    names = "_id _source _size _a _b _d _t row id twin gone again k t first fp size text doc_id source".split()
+    rows = [(*[7] * 17, "some words of a text " * 12 + str(i // 2), i, "s") for i in range(8)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    kept = simhash.first_of_group(df)
+    assert kept.columns == names and all(r.gone == 7 and r.twin == 7 for r in kept.collect())
+    from fieldtrace.llm import mixing
+
+    assert mixing.mixed(df).columns == names and all(r.size == 7 for r in mixing.mixed(df).collect())
