@@ -2,8 +2,8 @@
 
 The mix is cut to blocks of equal tokens. Blocks are seats: they go to sources by the highest quotients
 target / (2k - 1), and a source's seats go to its shards in the same way by shard size. A shard's quota
-is then met by whole passes over its documents and a run of blocks in seeded order. Only per-source and
-per-shard sums meet in small tables; documents are windowed within shards, so a hot source is spread.
+is then met by whole passes over its documents and by blocks of its words that a seeded permutation picks.
+Only per-source and per-shard sums meet in small tables; documents are windowed within shards, so a hot source is spread.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .common import WORD, cut, n_words, text_or_empty
 WEIGHTS, SHARE, PASSES = (3.0, 1.0, 2.0), 1.5, 2
 #: Words of a block; documents of a shard, about; seed of the order in a shard.
 BLOCK, SHARD_DOCS, SEED = 64, 1024, 17
+#: Strides of the permutations of blocks: primes, more than any shard has blocks. Most sources that are broadcast.
+STRIDES, FEW = (1_000_000_007, 1_000_000_009, 1_000_000_021, 1_000_000_033), 10_000
 
 
 def targets(sizes: DataFrame, share: float = SHARE, passes: float = PASSES) -> DataFrame:
@@ -52,9 +54,10 @@ def seats(rows: DataFrame, group: list[str], votes: Column, places: Column) -> D
     rows = rows.withColumn("_n", F.count("*").over(own)).withColumn("_all", F.sum("_votes").over(own))
     fair = F.when(F.col("_all") > 0, F.col("_places") * F.col("_votes") / F.col("_all")).otherwise(F.lit(0.0))
     shift = F.col("_n") / (2 * F.greatest("_places", F.lit(1)))
-    rows = rows.withColumn("_fair", fair).withColumn("_shift", F.least(shift, F.lit(1.0)))
+    #: Seats are votes / divisor, rounded; n roundings move the sum by n / 2 at most, and so the divisor by that share.
+    rows = rows.withColumn("_fair", fair).withColumn("_shift", shift)
     rows = rows.withColumn("_low", F.greatest(F.lit(0), F.floor(F.col("_fair") * (1 - F.col("_shift")) - 1)).cast("long"))
-    rows = rows.withColumn("_high", F.least(F.col("_places"), F.ceil(F.col("_fair") * (1 + F.col("_shift") * 2) + 1).cast("long")))
+    rows = rows.withColumn("_high", F.least(F.col("_places"), F.ceil(F.col("_fair") * (1 + F.col("_shift")) + 1).cast("long")))
     rows = rows.withColumn("_rest", F.col("_places") - F.sum("_low").over(own))
     open_ = rows.filter("_high > _low and _votes > 0").select(*group, "tie", "_votes", "_rest", F.explode(F.sequence(F.col("_low") + 1, F.col("_high"))).alias("_k"))
     rank = Window.partitionBy(*group).orderBy(F.desc(F.col("_votes") / (2 * F.col("_k") - 1)), "tie", "_k")
@@ -62,55 +65,79 @@ def seats(rows: DataFrame, group: list[str], votes: Column, places: Column) -> D
     return rows.join(won, "tie", "left").withColumn("seats", F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_votes", "_places", "_n", "_all", "_fair", "_shift", "_low", "_high", "_rest", "_won")
 
 
+def _label() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
 def taken(docs: DataFrame, share: float = SHARE, passes: int = PASSES) -> DataFrame:
-    """(key columns..., size, source_size, target, taken): words of each row that the mix takes.
+    """The rows with source_size, target, whole (passes over all words), picks (word ranges ``at``, ``n`` of one more pass) and taken.
 
     ``docs`` has doc_id, source and size. Null sources are a source of their own, the last. Repeated rows are
     documents of their own. Rows of size 0 take nothing. An empty table gives no rows.
     """
     docs = cut(docs)
-    label = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    bySource = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    goal = targets(bySource.select("source", "source_size"), share, passes)
-    goal = goal.withColumn("tie", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).join(bySource.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("tie"), F.greatest(F.ceil(F.col("n") / SHARD_DOCS), F.lit(1)).cast("long").alias("shards")), "tie")
+    sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    goal = targets(sources.select("source", "source_size"), share, passes).withColumn("tie", _label())
+    goal = goal.join(sources.select(_label().alias("tie"), F.greatest(F.ceil(F.col("n") / SHARD_DOCS), F.lit(1)).cast("long").alias("shards")), "tie")
     total = F.round(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long")
-    goal = cut(seats(goal.withColumn("places", total), ["places"], F.col("target"), F.col("places")).select("tie", "source_size", "target", "shards", F.col("seats").alias("source_seats")))
-    rows = docs.withColumn("label", label).join(goal.select(F.col("tie").alias("label"), "source_size", "target", "shards"), "label")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("shards")))
-    shards = rows.groupBy("label", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = shards.join(goal.select(F.col("tie").alias("label"), "source_seats"), "label").withColumn("tie", F.concat_ws("/", F.lpad(F.col("shard").cast("string"), 12, "0"), "label"))
+    goal = seats(goal.withColumn("places", total), ["places"], F.col("target"), F.col("places"))
+    goal = cut(goal.select(F.col("tie").alias("label"), "source_size", "target", "shards", F.col("seats").alias("source_seats")))
+    if goal.count() <= FEW:
+        goal = F.broadcast(goal)
+    rows = docs.withColumn("label", _label()).join(goal, "label").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("shards")))
+    shards = rows.groupBy("label", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_seats").alias("source_seats"))
+    shards = shards.withColumn("tie", F.concat_ws("/", F.lpad(F.col("shard").cast("string"), 12, "0"), "label"))
     quota = seats(shards, ["label"], F.col("shard_size"), F.col("source_seats")).select("label", "shard", "shard_size", F.least(F.col("seats") * BLOCK, F.col("shard_size") * passes).alias("quota"))
     rows = rows.join(quota, ["label", "shard"])
-    whole = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     order = Window.partitionBy("label", "shard").orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("whole", whole).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("whole") * F.col("shard_size") - F.col("before")))
-    return rows.withColumn("taken", (F.col("whole") * F.col("size") + part).cast("long")).drop("label", "shard", "shards", "shard_size", "quota", "whole", "before")
+    rows = rows.withColumn("whole", F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long"))
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    blocks = F.ceil(F.col("shard_size") / BLOCK).cast("long")
+    draw = lambda n, seed: F.pmod(F.xxhash64("label", "shard", F.lit(seed)), n)
+    stride = F.element_at(F.array(*map(F.lit, STRIDES)), (draw(F.lit(len(STRIDES)), SEED + 2) + 1).cast("int"))
+    most = F.round((F.col("quota") - F.col("whole") * F.col("shard_size")) / BLOCK)
+    chosen = F.filter(F.sequence(F.floor(F.col("before") / BLOCK), F.floor((F.col("before") + F.col("size") - 1) / BLOCK)), lambda b: F.pmod(b * stride + draw(blocks, SEED + 3), blocks) < most)
+    start = lambda b: F.greatest(b * BLOCK - F.col("before"), F.lit(0)).cast("long")
+    ranges = F.transform(chosen, lambda b: F.struct(start(b).alias("at"), (F.least((b + 1) * BLOCK - F.col("before"), F.col("size")) - start(b)).cast("long").alias("n")))
+    rows = rows.withColumn("picks", F.when((F.col("size") > 0) & (most > 0), ranges).otherwise(F.array().cast("array<struct<at:bigint,n:bigint>>")))
+    picked = F.aggregate("picks", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    rows = rows.withColumn("taken", F.col("whole") * F.col("size") + picked)
+    return rows.drop("label", "shard", "shards", "source_seats", "shard_size", "quota", "before")
 
 
 def mix_words(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row of documents."""
+    """doc_id, size, source_size, target, taken of each row of documents.
+
+    Null texts have size 0; a null doc_id is kept; other columns aren't read; the rest is as in ``taken``.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"))
     return taken(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: whole copies of a document as often as taken, and a last copy cut after the words left."""
-    plan = taken(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"))).filter("taken > 0")
-    #: Rows with equal id, source and size are alike to the plan; equal rows are numbered on both sides.
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("taken")).alias("_t"))
-    names = docs.columns
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": n_words(text_or_empty())})
-    right = plan.toDF("_a", "_b", "_c", "_t")
-    rows = rows.join(right, F.col("_id").eqNullSafe(F.col("_a")) & F.col("_source").eqNullSafe(F.col("_b")) & (F.col("_size") == F.col("_c")))
-    once, many = rows.filter("size(_t) = 1").withColumn("_k", F.lit(1)), rows.filter("size(_t) > 1")
-    many = many.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text")))
-    rows = once.unionByName(many).filter("_k <= size(_t)").withColumn("_taken", F.element_at("_t", F.col("_k")))
-    cuts = F.concat(F.array_repeat(F.col("_size"), F.floor(F.col("_taken") / F.col("_size")).cast("int")), F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.col("_taken") % F.col("_size"))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_cut", F.explode(cuts))
-    return rows.select(*[F.when(F.col("_cut") == F.col("_size"), F.col(c)).otherwise(_first_words(F.col(c), F.col("_cut"))).alias(c) if c == "text" else F.col(c) for c in names])
-
-
-def _first_words(text: Column, n: Column) -> Column:
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
-    return F.array_join(F.slice(words, 1, n.cast("int")), " ")
+    """The mix itself: a document as often as it is taken whole, then one copy of the blocks that are picked of it.
+
+    Columns are those of ``docs``, of any name. The last copy keeps the blanks and line breaks before its words. Null and
+    empty texts take nothing and go; rows with equal id, source and size are alike to the plan and numbered by text;
+    a text of any length is one row; an empty table gives no rows.
+    """
+    size = n_words(text_or_empty())
+    plan = taken(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))).filter("taken > 0")
+    plan = plan.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "whole", "picks"))).alias("plans")).toDF("i", "s", "z", "plans")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    once, many = rows.filter("size(plans) = 1").withColumn("k", F.lit(1)), rows.filter("size(plans) > 1")
+    many = many.withColumn("k", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("text")))
+    rows = once.unionByName(many).filter("k <= size(plans)").withColumn("plan", F.element_at("plans", F.col("k")))
+    full = F.col("plan.whole") + (F.col("plan.taken") - F.col("plan.whole") * F.col("size") == F.col("size")).cast("int")
+    rest = F.when(F.col("plan.taken") > full * F.col("size"), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    rows = rows.withColumn("part", F.explode(F.concat(F.array_repeat(F.lit(False), full.cast("int")), rest)))
+    text = F.when(~F.col("part"), F.col("text")).otherwise(_picked(F.col("text"), F.col("plan.picks")))
+    return rows.select(*[text.cast(docs.schema[c].dataType).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _picked(text: Column, picks: Column) -> Column:
+    """The words of the ranges, each with the blanks before it."""
+    words = F.regexp_extract_all(text, F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1)
+    some = F.flatten(F.transform(picks, lambda p: F.slice(words, (p["at"] + 1).cast("int"), p["n"].cast("int"))))
+    return F.regexp_replace(F.array_join(some, ""), r"^[\x20\x09-\x0D]+", "")
