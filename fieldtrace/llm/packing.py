@@ -13,6 +13,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,37 +153,41 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndar
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Column ``rank`` from 0 among rows of equal length. A common length is ranked in many buckets, whose counts are then summed."""
+    """Column ``rank`` from 0 among rows of equal length, and ``copy``, a number from 0 among equal pieces.
+
+    A common length is ranked in many buckets, whose counts are then summed.
+    """
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(max(64, parts(rows.sparkSession)))))
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
-    return rows.withColumn("own", own).join(before, ["length", "bucket"]).withColumn("rank", F.col("own") - 1 + F.col("before")).drop("own", "before", "bucket")
+    piece = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*piece))
+    copy = (F.row_number().over(Window.partitionBy("length", "bucket", *piece).orderBy("own")) - 1).cast("long")
+    return rows.withColumn("own", own).withColumn("copy", copy).join(before, ["length", "bucket"]).withColumn("rank", F.col("own") - 1 + F.col("before")).drop("own", "before", "bucket")
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, start, length, ids_crc32, doc_tokens."""
+    """Adds copy, sequence_id and offset to rows with doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
     rows = cut(rows)
     histogram = {int(r[0]): int(r[1]) for r in rows.groupBy("length").count().collect()}  # at most LENGTH rows
     length, rank, sequence, offset = slots(patterns(histogram))
-    names = [c for c in rows.columns]
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", sequence_id long, offset long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = length << 44 | rank
-        for batch in batches:
-            own, at = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-            run_of = np.searchsorted(keys, own << 44 | at, "right") - 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(sequence[run_of] + at - rank[run_of]), pa.array(offset[run_of])], [*names, "sequence_id", "offset"])
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        at = ranks.to_numpy(np.int64)
+        run = np.searchsorted(length << 44 | rank, lengths.to_numpy(np.int64) << 44 | at, "right") - 1
+        return pd.DataFrame({"sequence_id": sequence[run] + at - rank[run], "offset": offset[run]})
 
-    return ranked(rows).select(*names, "rank").mapInArrow(run, schema)
+    out = ranked(rows).withColumn("place", place("length", "rank"))
+    return out.select(*rows.columns, "place.sequence_id", "place.offset", "copy")
 
 
-def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def packed(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset, copy.
 
-    Null texts are empty and have the end id alone; repeated rows give pieces of their own; a null doc_id stays
-    null; other columns are ignored; an empty table gives no rows. Sequences are filled from offset 0
-    without gaps and padded at their end.
+    Null texts are empty and have the end id alone; repeated rows give pieces of their own, told apart by ``copy``;
+    a null doc_id stays null; texts of any length are cut to pieces; other columns are ignored; an empty table gives no
+    rows. Sequences are filled from offset 0 without gaps and padded at their end. ids are little-endian
+    unsigned 32-bit numbers.
     """
-    return placed(pieces(docs, path or vocabulary()))
+    return placed(pieces(docs, path or vocabulary(), with_ids=with_ids))

@@ -91,3 +91,12 @@ def test_same_rows_same_bytes(spark, tmp_path):
     assert sorted(a) == sorted(b) and a
     with pytest.raises(ValueError):
         warc.parse(b"nothing")
+
+
+def test_copies_and_ids(spark, texts):
+    import zlib
+
+    rows = [(k, t) for k, t, _ in texts[:20]] + [(texts[0][0], texts[0][1])] * 2
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), with_ids=True).collect()
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
+    assert sorted(r.copy for r in got if r.doc_id == texts[0][0] and r.start == 0) == [0, 1, 2] and all(r.copy == 0 for r in got if r.doc_id != texts[0][0])
