@@ -190,7 +190,9 @@ def frames_of(media: bytes) -> Iterator[tuple[int, tuple[int, int, int, int], np
         stream, after = gathered(at + 1)
         flat = lzw_decode(stream, media[at], w * h)
         at = after
-        index = np.frombuffer(flat.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        if len(flat) < w * h:
+            raise ValueError("a code stream that ends before its frame")
+        index = np.frombuffer(flat, np.uint8).reshape(h, w)
         if local & 0x40:
             order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
             index = index[np.argsort(order)]
@@ -207,6 +209,8 @@ def frames_of(media: bytes) -> Iterator[tuple[int, tuple[int, int, int, int], np
         elif dispose == 3:
             canvas = before
         delay, dispose, clear = 0, 0, -1
+    if at >= len(media):
+        raise ValueError("no end mark")
 
 
 def histogram(canvas: np.ndarray) -> list[int]:
@@ -232,7 +236,8 @@ def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def frames(media: DataFrame, key: str = "key", column: str = "media") -> DataFrame:
     """One row per frame: key, frame, start_ms, delay_ms, width, height, colours (24 counts), rgba.
 
-    A null or broken GIF gives one row whose frame is -1 and whose other fields are null.
+    A null, broken or cut GIF gives one row whose frame is -1 and whose other fields are null; repeated rows are repeated;
+    a null key stays null; other columns are ignored; an empty table gives no rows.
     """
     schema = "key long, frame int, start_ms long, delay_ms long, width int, height int, colours array<long>, rgba binary"
 
@@ -287,6 +292,7 @@ def gif_digests(docs: DataFrame) -> DataFrame:
     """Stores every text as a GIF and reads it back.
 
     A null text counts as empty (576 bytes of 255); a null doc_id stays null; repeated rows give
-    repeated rows; other columns are ignored; an empty table gives no rows.
+    repeated rows; a text of any length is one GIF of as many frames as it needs, held in its task; other
+    columns are ignored; an empty table gives no rows.
     """
     return digests(stored(docs))

@@ -88,3 +88,12 @@ def test_payloads_come_back(spark, odd, empty, texts):
     with pytest.raises(ValueError):
         list(media.frames_of(b"nothing"))
     assert np.sum(media.histogram(np.full((2, 2, 4), 255, np.uint8))) == 12
+
+
+def test_cut_streams_give_no_frames(spark):
+    whole = media.gif_of(media.pad(b"some text that is long enough " * 400))
+    rows = [(i, bytearray(whole[: len(whole) - n])) for i, n in enumerate((0, 1, 40, 300, len(whole) // 2))]
+    short = whole[:-1].replace(media._blocks(media.lzw_encode(media.pad(b"some text that is long enough " * 400)[:4608])), media._blocks(media.lzw_encode(b"a" * 4000))) + b"\x3b"
+    rows.append((9, bytearray(short)))
+    got = {k: sorted(r.frame for r in media.frames(spark.createDataFrame(rows, "key long, media binary")).filter(f"key = {k}").collect()) for k in (0, 1, 2, 3, 4, 9)}
+    assert len(got[0]) > 1 and got[0][0] == 0 and all(got[k] == [-1] for k in (1, 2, 3, 4, 9))
