@@ -73,7 +73,7 @@ def padded(values: DataFrame, field: str, first: int, last: int, extrapolate: bo
     rows = known.withColumn("next", F.lead("frame").over(span)).withColumn("v_next", F.lead("v").over(span)).withColumn("before", F.lag("frame").over(span))
     start = F.when(F.col("before").isNull() & F.lit(extrapolate), F.least(F.lit(first), "frame")).otherwise(F.col("frame"))
     stop = F.when(F.col("next").isNotNull(), F.col("next") - 1).otherwise(F.greatest(F.lit(last), "frame") if extrapolate else F.col("frame"))
-    part = F.when(F.col("next").isNotNull() & (F.col("at") > F.col("frame")), (F.col("at") - F.col("frame")) / (F.col("next") - F.col("frame")) * (F.col("v_next") - F.col("v"))).otherwise(0.0)
+    part = F.when(F.col("next").isNotNull() & (F.col("at") > F.col("frame")), (F.col("v_next") - F.col("v")) * (F.col("at") - F.col("frame")) / (F.col("next") - F.col("frame"))).otherwise(0.0)
     filled = rows.withColumn("at", F.explode(F.sequence(start, stop))).filter(F.col("at").between(first, last)).select("track", F.col("at").alias("frame"), (F.col("v") + part).alias(field))
     if extrapolate:
         return filled

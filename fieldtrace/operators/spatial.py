@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .written import written
+
 
 def grid_join(left: DataFrame, right: DataFrame, radius: float, strict: bool = False) -> DataFrame:
     """All pairs of a shared frame within ``radius``, with ``dist``: columns pt1, x1, y1, pt2, x2, y2.
@@ -51,10 +53,16 @@ def without_isolated(points: DataFrame, radius: float) -> DataFrame:
 
 
 def merged(first: DataFrame, second: DataFrame, radius: float) -> DataFrame:
-    """Midpoints of nearest pairs of two point sets (tp, pt, x, y), with the points of either that have no partner: (tp, kind, pt1, pt2, x, y)."""
+    """Midpoints of nearest pairs of two point sets (tp, pt, x, y), with the points of either that have no partner: (tp, kind, pt1, pt2, x, y).
+
+    The search runs once; pairs carry both points, and each side's rest is what the pairs don't name.
+    """
     pairs = grid_join(first, second, radius, strict=True)
-    chosen = nearest_pairs(pairs).select("tp", "pt1", "pt2")
-    both = pairs.join(chosen, ["tp", "pt1", "pt2"]).select("tp", F.lit("pair").alias("kind"), "pt1", "pt2", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    claims = pairs.groupBy("tp", "pt2").agg(F.min(F.struct("dist", "pt1", "x1", "y1", "x2", "y2")).alias("m"))
+    best = claims.groupBy("tp", F.col("m.pt1").alias("pt1")).agg(F.min(F.struct(F.col("m.dist").alias("dist"), "pt2", *[F.col(f"m.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])).alias("m"))
+    middle = lambda c: ((F.col(f"m.{c}1") + F.col(f"m.{c}2")) / 2).alias(c)
+    chosen = written(best.select("tp", "pt1", F.col("m.pt2").alias("pt2"), middle("x"), middle("y")))
+    both = chosen.select("tp", F.lit("pair").alias("kind"), "pt1", "pt2", "x", "y")
     one = first.withColumnRenamed("pt", "pt1").join(chosen, ["tp", "pt1"], "left_anti").select("tp", F.lit("first").alias("kind"), "pt1", F.lit(None).cast("int").alias("pt2"), "x", "y")
     two = second.withColumnRenamed("pt", "pt2").join(chosen, ["tp", "pt2"], "left_anti").select("tp", F.lit("second").alias("kind"), F.lit(None).cast("int").alias("pt1"), "pt2", "x", "y")
     return both.unionByName(one).unionByName(two)
@@ -69,20 +77,20 @@ def match_counts(truth: DataFrame, test: DataFrame, radius: float) -> DataFrame:
     return rows.select("tp", "matched", "missed", "extra", ratio(F.col("n2")).alias("precision"), ratio(F.col("n1")).alias("recall"), ratio(F.col("matched") + F.col("missed") + F.col("extra")).alias("agreement"))
 
 
-def gap_candidates(tracks: DataFrame, max_lag: float, max_dist: float) -> DataFrame:
-    """For each end of a track the best later start: 0 < lag <= max_lag and dist <= max_dist, least (lag, dist, track).
+def gap_candidates(tracks: DataFrame, max_lag: float, max_dist: float, place: str = "track") -> DataFrame:
+    """For each start of a track the best earlier end: 0 < lag <= max_lag and dist <= max_dist, least (lag, dist, place): (track, before, lag, dist).
 
     ``tracks`` has track, t0, x0, y0 (start) and t1, x1, y1 (end). Lag and place are both gridded.
     """
     cell = lambda c, r: F.floor(F.col(c) / r)
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    ends = tracks.select(F.col("track").alias("a"), "t1", "x1", "y1", cell("x1", max_dist).alias("cx"), cell("y1", max_dist).alias("cy"), cell("t1", max_lag).alias("ct"))
+    ends = tracks.select(F.col("track").alias("a"), F.col(place).alias("rank"), "t1", "x1", "y1", cell("x1", max_dist).alias("cx"), cell("y1", max_dist).alias("cy"), cell("t1", max_lag).alias("ct"))
     starts = tracks.select(F.col("track").alias("b"), "t0", F.col("x0").alias("sx"), F.col("y0").alias("sy"), (cell("x0", max_dist)).alias("gx"), cell("y0", max_dist).alias("gy"), cell("t0", max_lag).alias("gt"))
     starts = starts.withColumn("i", around).withColumn("j", around).withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(0))))
     starts = starts.select("b", "t0", "sx", "sy", (F.col("gx") + F.col("i")).alias("cx"), (F.col("gy") + F.col("j")).alias("cy"), (F.col("gt") + F.col("k")).alias("ct"))
     pairs = ends.join(starts, ["cx", "cy", "ct"]).filter("a <> b").withColumn("lag", F.col("t0") - F.col("t1")).withColumn("dist", F.sqrt(F.pow(F.col("x1") - F.col("sx"), 2) + F.pow(F.col("y1") - F.col("sy"), 2)))
-    best = pairs.filter((F.col("lag") > 0) & (F.col("lag") <= max_lag) & (F.col("dist") <= max_dist)).groupBy("a").agg(F.min(F.struct("lag", "dist", "b")).alias("m"))
-    return best.select(F.col("a").alias("track"), F.col("m.b").alias("next"), F.col("m.lag").alias("lag"), F.col("m.dist").alias("dist"))
+    best = pairs.filter((F.col("lag") > 0) & (F.col("lag") <= max_lag) & (F.col("dist") <= max_dist)).groupBy("b").agg(F.min(F.struct("lag", "dist", "rank", "a")).alias("m"))
+    return best.select(F.col("b").alias("track"), F.col("m.a").alias("before"), F.col("m.lag").alias("lag"), F.col("m.dist").alias("dist"))
 
 
 def clustered(points: DataFrame, radius: float) -> DataFrame:

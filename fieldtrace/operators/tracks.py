@@ -91,20 +91,6 @@ def rolling_mean(points: DataFrame, window: int, field: str) -> DataFrame:
     return points.select("track", "tp", (total / window).alias(f"{field}_mean"))
 
 
-def rolling_slope(points: DataFrame, window: int, time: str, field: str) -> DataFrame:
-    """Least-squares slope of centred windows; only places with a full window have one."""
-    span = order().rowsBetween(-(window // 2), window - 1 - window // 2)
-    full = F.count(field).over(span) == window
-    return points.select("track", "tp", F.when(full, F.regr_slope(F.col(field), F.col(time)).over(span)).alias("slope")).filter("slope is not null")
-
-
-def flat_runs(series: DataFrame, cutoff: float, noise: int) -> DataFrame:
-    """Runs of ``series`` (track, tp, slope) where |slope| < cutoff, at least ``noise`` points long: (track, start, stop, n)."""
-    flat = F.abs("slope") < cutoff
-    rows = series.withColumn("flat", flat).withColumn("run", F.row_number().over(order()) - F.row_number().over(Window.partitionBy("track", "flat").orderBy("tp")))
-    return rows.filter("flat").groupBy("track", "run").agg(F.min("tp").alias("start"), F.max("tp").alias("stop"), F.count("*").alias("n")).filter(F.col("n") >= noise).drop("run")
-
-
 def frame_means(points: DataFrame, scale: float, field: str) -> DataFrame:
     """Mean of dense samples in each frame [k * scale, (k + 1) * scale)."""
     return points.groupBy("track", F.floor(F.col("t") / scale).alias("frame")).agg(F.avg(field).alias(f"{field}_mean"), F.count("*").alias("n"))
@@ -117,7 +103,8 @@ def aligned(series: DataFrame) -> DataFrame:
     return names.crossJoin(F.broadcast(line)).join(series, ["series", "tp"], "left")
 
 
-def scaled(points: DataFrame, factor: float) -> DataFrame:
-    """Tracks scaled about the mean of their points."""
+def scaled(points: DataFrame, factor: float, decimals: int = 6) -> DataFrame:
+    """Tracks scaled about the mean of their points, the mean rounded to ``decimals``, so that it doesn't depend on the order of summing."""
     own = Window.partitionBy("track")
-    return points.select("track", "tp", *[(F.avg(c).over(own) + (F.col(c) - F.avg(c).over(own)) * factor).alias(c) for c in "xy"])
+    mean = {c: F.round(F.avg(c).over(own), decimals) for c in "xy"}
+    return points.select("track", "tp", *[(mean[c] + (F.col(c) - mean[c]) * factor).alias(c) for c in "xy"])

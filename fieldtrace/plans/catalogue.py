@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry
-from fieldtrace.operators import annotations, groups, linking, pixels, series, spatial, tracks
+from fieldtrace.operators import annotations, groups, linking, persistence, pixels, series, spatial, tracks
 from fieldtrace.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +36,7 @@ TRUTH = """tr AS (SELECT quality AS truth, CAST(n_chars AS DOUBLE) AS score FROM
   cu AS (SELECT score, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(q) OVER w AS BIGINT) AS fp, sum(p) OVER () AS np, sum(q) OVER () AS nq FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
 BOXES = """bx AS (SELECT user_id AS file, event_type AS sel_class, floor(value) AS a, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS b, floor(value / 10) AS c, 50.0::DOUBLE AS e FROM events),
   bn AS (SELECT DISTINCT file, sel_class, least(a, c) AS x0, least(b, e) AS y0, greatest(a, c) AS x1, greatest(b, e) AS y1 FROM bx WHERE a <> c AND b <> e)"""
-PIXELS = """px AS (SELECT p_brand AS image, CAST((p_partkey // 10) % 10 AS INTEGER) AS "row", CAST(p_partkey % 10 AS INTEGER) AS col, CAST(max(p_size) AS DOUBLE) AS value FROM part GROUP BY ALL)"""
+PIXELS = """px AS (SELECT 'I' || (p_partkey // 100) AS image, CAST((p_partkey // 10) % 10 AS INTEGER) AS "row", CAST(p_partkey % 10 AS INTEGER) AS col, CAST(p_size AS DOUBLE) AS value FROM part)"""
 
 
 def query(name: str, sql: str | None = None, decimals: int = 4):
@@ -114,16 +114,59 @@ def rolling_mean(spark, sf_dir):
 SLOPES = POINTS + """, sl AS (SELECT track, tp, regr_slope(x, CAST(tp AS DOUBLE)) OVER w AS slope, count(*) OVER w AS k FROM tp WINDOW w AS (PARTITION BY track ORDER BY tp ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))"""
 
 
-@query("rolling_slope", f"WITH {SLOPES} SELECT track, tp, {r('slope')} FROM sl WHERE k = 7")
+FITS = POINTS + """, wi AS (SELECT *, regr_slope(x, tp) OVER w AS slope, regr_intercept(x, tp) OVER w AS intercept, count(*) OVER w AS k, count(*) OVER (PARTITION BY track) AS n FROM tp WINDOW w AS (PARTITION BY track ORDER BY tp ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+  sl AS (SELECT a.track, a.tp, b.slope, b.intercept FROM wi a JOIN wi b ON b.track = a.track AND b.tp = least(greatest(a.tp, 3), a.n - 4) AND b.k = 7)"""
+#: Flat places, then without short runs, then with short holes filled unless all are gone; runs of what is left.
+FLAT = FITS + """, f0 AS (SELECT track, tp, abs(slope) < 8 AS flat, min(CASE WHEN abs(slope) < 8 THEN 1 ELSE 0 END) OVER (PARTITION BY track) AS whole FROM sl),
+  r0 AS (SELECT *, tp - row_number() OVER (PARTITION BY track, flat ORDER BY tp) AS run FROM f0),
+  f1 AS (SELECT track, tp, whole, CASE WHEN flat AND whole = 0 AND count(*) OVER (PARTITION BY track, flat, run) < 3 THEN FALSE ELSE flat END AS flat FROM r0),
+  r1 AS (SELECT *, tp - row_number() OVER (PARTITION BY track, flat ORDER BY tp) AS run FROM f1),
+  f2 AS (SELECT track, tp, CASE WHEN NOT flat AND max(CASE WHEN flat THEN 1 ELSE 0 END) OVER (PARTITION BY track) = 1 AND count(*) OVER (PARTITION BY track, flat, run) < 3 THEN TRUE ELSE flat END AS flat FROM r1),
+  r2 AS (SELECT *, tp - row_number() OVER (PARTITION BY track, flat ORDER BY tp) AS run FROM f2),
+  fr AS (SELECT track, min(tp) AS start, max(tp) AS stop, count(*) AS n FROM r2 WHERE flat GROUP BY track, run)"""
+
+
+def flat_stretches(spark, sf_dir):
+    return persistence.flat_runs(persistence.rolling_fit(T.track_points(spark, sf_dir), 7, "tp", "x"), 8, 3)
+
+
+@query("rolling_slope", f"WITH {FITS} SELECT track, tp, {r('slope')} FROM sl")
 def rolling_slope(spark, sf_dir):
-    return tracks.rolling_slope(T.track_points(spark, sf_dir), 7, "tp", "x")
+    return persistence.rolling_fit(T.track_points(spark, sf_dir), 7, "tp", "x").drop("intercept")
+
 
+@query("rolling_fit", f"WITH {FITS} SELECT track, tp, {r('intercept + slope * tp AS x')} FROM sl")
+def rolling_fit(spark, sf_dir):
+    return persistence.rolling_fit(T.track_points(spark, sf_dir), 7, "tp", "x").select("track", "tp", (F.col("intercept") + F.col("slope") * F.col("tp")).alias("x"))
 
-@query("flat_runs", f"""WITH {SLOPES}, f AS (SELECT track, tp, abs(slope) < 8 AS flat FROM sl WHERE k = 7),
-  i AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY tp) - row_number() OVER (PARTITION BY track, flat ORDER BY tp) AS run FROM f)
-  SELECT track, min(tp) AS start, max(tp) AS stop, count(*) AS n FROM i WHERE flat GROUP BY track, run HAVING count(*) >= 3""")
+
+@query("flat_runs", f"WITH {FLAT} SELECT * FROM fr")
 def flat_runs(spark, sf_dir):
-    return tracks.flat_runs(tracks.rolling_slope(T.track_points(spark, sf_dir), 7, "tp", "x"), 8, 3)
+    return flat_stretches(spark, sf_dir)
+
+
+@query("persistence_islands", f"""WITH {FLAT}, st AS (SELECT track, tp, t, x, y, lead(t) OVER w - t AS dt, sqrt(power(lead(x) OVER w - x, 2) + power(lead(y) OVER w - y, 2)) AS ds FROM tp WINDOW w AS (PARTITION BY track ORDER BY tp)),
+  il AS (SELECT fr.track, start, stop, sum(dt) AS duration, sum(ds) AS distance, sqrt(power(max_by(x, tp) - min_by(x, tp), 2) + power(max_by(y, tp) - min_by(y, tp), 2)) AS displacement, avg(CASE WHEN dt > 0 THEN ds / dt END) AS speed, min(t) AS b, max(t) AS e
+  FROM fr JOIN st ON st.track = fr.track AND st.tp BETWEEN start AND stop AND dt IS NOT NULL GROUP BY ALL)
+  SELECT track, start, stop, {r('duration', 'distance', 'displacement', 'speed', 'b - lag(e) OVER (PARTITION BY track ORDER BY start) AS gap')} FROM il""")
+def persistence_islands(spark, sf_dir):
+    return persistence.islands(T.track_points(spark, sf_dir), flat_stretches(spark, sf_dir))
+
+
+@query("persistence_scalars", f"""WITH {FLAT}, st AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS step FROM tp WINDOW w AS (PARTITION BY track ORDER BY tp)),
+  g AS (SELECT track, count(*) AS n, max(t) - min(t) AS duration, sum(step) AS distance, sqrt(power(max_by(x, tp) - min_by(x, tp), 2) + power(max_by(y, tp) - min_by(y, tp), 2)) AS displacement FROM st GROUP BY track), h AS (SELECT track, sum(n - 1) AS held FROM fr GROUP BY track)
+  SELECT track, {r('duration', 'distance', 'displacement', 'CASE WHEN distance > 0 THEN displacement / distance END AS straightness', 'CASE WHEN duration > 0 THEN displacement / duration END AS velocity', 'CASE WHEN duration > 0 THEN distance / duration END AS speed', 'coalesce(held, 0) / n AS persistent', '1 - coalesce(held, 0) / n AS quiescent')} FROM g LEFT JOIN h USING (track)""")
+def persistence_scalars(spark, sf_dir):
+    return persistence.scalars(T.track_points(spark, sf_dir), flat_stretches(spark, sf_dir))
+
+
+@query("smoothed_positions", f"""WITH {POINTS}, wi AS (SELECT *, regr_slope(x, t) OVER w AS sx, regr_intercept(x, t) OVER w AS ix, regr_slope(y, t) OVER w AS sy, regr_intercept(y, t) OVER w AS iy, count(*) OVER w AS k, count(*) OVER v AS n, min(t) OVER v AS t0, (max(t) OVER v - min(t) OVER v) / (count(*) OVER v * 2 - 1) AS step
+  FROM tp WINDOW v AS (PARTITION BY track), w AS (PARTITION BY track ORDER BY tp ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+  ti AS (SELECT track, n, unnest(range(n * 2)) AS place, t0, step FROM (SELECT DISTINCT track, n, t0, step FROM wi) WHERE step > 0),
+  a AS (SELECT ti.track, place, t0 + place * step AS moment, CASE WHEN place = n * 2 - 1 THEN n - 1 ELSE (SELECT max(p.tp) FROM tp p WHERE p.track = ti.track AND ceil((p.t - t0) / step) <= place) END AS own, n FROM ti)
+  SELECT a.track, place, {r('moment AS t', 'ix + sx * moment AS x', 'iy + sy * moment AS y')} FROM a JOIN wi ON wi.track = a.track AND wi.k = 5 AND wi.tp = least(greatest(a.own, 2), a.n - 3)""")
+def smoothed_positions(spark, sf_dir):
+    return persistence.smoothed(T.track_points(spark, sf_dir), 5, 2)
 
 
 @query("frame_means", f"WITH {POINTS} SELECT track, CAST(floor(t / 720) AS BIGINT) AS frame, {r('avg(x) AS x_mean')}, count(*) AS n FROM tp GROUP BY track, floor(t / 720)")
@@ -139,9 +182,9 @@ def aligned_series(spark, sf_dir):
     return tracks.aligned(rows.groupBy(F.col("event_type").alias("series"), day.alias("tp")).agg(F.sum("value").alias("value")))
 
 
-@query("scaled_tracks", f"WITH {POINTS} SELECT track, tp, {r('avg(x) OVER w + (x - avg(x) OVER w) * 0.5 AS x', 'avg(y) OVER w + (y - avg(y) OVER w) * 0.5 AS y')} FROM tp WINDOW w AS (PARTITION BY track)")
+@query("scaled_tracks", f"WITH {POINTS} SELECT track, tp, {r('round(avg(x) OVER w, 6) + (x - round(avg(x) OVER w, 6)) * 0.3712345678 AS x', 'round(avg(y) OVER w, 6) + (y - round(avg(y) OVER w, 6)) * 0.3712345678 AS y')} FROM tp WINDOW w AS (PARTITION BY track)")
 def scaled_tracks(spark, sf_dir):
-    return tracks.scaled(T.track_points(spark, sf_dir), 0.5)
+    return tracks.scaled(T.track_points(spark, sf_dir), 0.3712345678)
 
 
 @query("detection_filter", f"WITH {FRAMES} SELECT tp, pt, {r('x / 500 * 1000 AS px', '(1 - y / 100) * 1000 AS py')} FROM de WHERE score >= 0.1")
@@ -197,13 +240,22 @@ def linked_tracks(spark, sf_dir):
     return linking.chains(points, spatial.nearest_pairs(spatial.next_frames(points, RADIUS, strict=True)))
 
 
-@query("gap_candidates", f"""WITH {PAIRS}, RECURSIVE_ AS (SELECT 1), e AS (SELECT pt + tp * 100000 AS track, tp * 2.0 AS t0, x AS x0, y AS y0, tp * 2.0 + 1 AS t1, x AS x1, y AS y1 FROM de WHERE score > 0.15),
-  c AS (SELECT a.track, b.track AS next, b.t0 - a.t1 AS lag, sqrt(power(a.x1 - b.x0, 2) + power(a.y1 - b.y0, 2)) AS dist FROM e a JOIN e b ON a.track <> b.track AND b.t0 - a.t1 > 0 AND b.t0 - a.t1 <= 3.5
-  WHERE sqrt(power(a.x1 - b.x0, 2) + power(a.y1 - b.y0, 2)) <= 6 QUALIFY row_number() OVER (PARTITION BY a.track ORDER BY lag, dist, next) = 1) SELECT track, next, {r('lag', 'dist')} FROM c""".replace("RECURSIVE_ AS (SELECT 1), ", ""))
+ENDS = FRAMES + """, e AS (SELECT pt + tp * 100000 AS track, tp * 2.0 AS t0, x AS x0, y AS y0, tp * 2.0 + 1 AS t1, x AS x1, y AS y1 FROM de)"""
+
+
+def _ends(spark, sf_dir):
+    return T.detections(spark, sf_dir).select((F.col("pt") + F.col("tp").cast("long") * 100000).alias("track"), F.lit(1).alias("n"), (F.col("tp") * 2.0).alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("tp") * 2.0 + 1).alias("t1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+
+
+@query("gap_candidates", f"""WITH {ENDS}, c AS (SELECT b.track, a.track AS before, b.t0 - a.t1 AS lag, sqrt(power(a.x1 - b.x0, 2) + power(a.y1 - b.y0, 2)) AS dist FROM e a JOIN e b ON a.track <> b.track AND b.t0 - a.t1 > 0 AND b.t0 - a.t1 <= 3.5 AND abs(a.x1 - b.x0) <= 6
+  WHERE sqrt(power(a.x1 - b.x0, 2) + power(a.y1 - b.y0, 2)) <= 6 QUALIFY row_number() OVER (PARTITION BY b.track ORDER BY lag, dist, before) = 1) SELECT track, before, {r('lag', 'dist')} FROM c""")
 def gap_candidates(spark, sf_dir):
-    d = T.detections(spark, sf_dir).filter("score > 0.15")
-    ends = d.select((F.col("pt") + F.col("tp").cast("long") * 100000).alias("track"), (F.col("tp") * 2.0).alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("tp") * 2.0 + 1).alias("t1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    return spatial.gap_candidates(ends, 3.5, 6)
+    return spatial.gap_candidates(_ends(spark, sf_dir), 3.5, 6)
+
+
+@query("closed_tracks")
+def closed_tracks(spark, sf_dir):
+    return linking.closed(_ends(spark, sf_dir), 1.5, 3, rounds=3)
 
 
 def _orders(spark, sf_dir):
@@ -419,9 +471,9 @@ def timeline_complement(spark, sf_dir):
     return series.timeline_complement(d, d.filter("score > 0.5"), d.filter("score < 0.001"))
 
 
-@query("pixel_correlation", f"""WITH {PIXELS} SELECT a.image, count(*) AS n, CASE WHEN NOT isnan(corr(a.value, b.value)) THEN round(corr(a.value, b.value), 4) END AS correlation FROM px a JOIN px b ON b."row" = a."row" AND b.col = a.col AND b.image = 'Brand#11' GROUP BY a.image""")
+@query("pixel_correlation", f"""WITH {PIXELS} SELECT a.image, count(*) AS n, CASE WHEN NOT isnan(corr(a.value, b.value)) THEN round(corr(a.value, b.value), 4) END AS correlation FROM px a JOIN px b ON b."row" = a."row" AND b.col = a.col AND b.image = 'I0' GROUP BY a.image""")
 def pixel_correlation(spark, sf_dir):
-    return pixels.correlation(T.pixels(spark, sf_dir), "Brand#11")
+    return pixels.correlation(T.pixels(spark, sf_dir), "I0")
 
 
 @query("pixel_median", f"""WITH {PIXELS} SELECT a.image, a."row", a.col, round(median(b.value), 4) AS value FROM px a JOIN px b ON b.image = a.image AND abs(b."row" - a."row") <= 1 AND abs(b.col - a.col) <= 1 GROUP BY ALL""")

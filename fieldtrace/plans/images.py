@@ -62,21 +62,21 @@ def box_mask(spark, sf_dir):
 
 
 @query("overlap_search", f"""WITH {PIXELS}, s AS (SELECT o.image, CAST(i AS INTEGER) AS dr, CAST(j AS INTEGER) AS dc, count(*) AS n, corr(f.value, o.value) AS c
-  FROM px o, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j), px f WHERE f.image = 'Brand#11' AND f."row" = o."row" + i AND f.col = o.col + j GROUP BY ALL HAVING count(*) >= 5)
+  FROM px o, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j), px f WHERE f.image = 'I0' AND f."row" = o."row" + i AND f.col = o.col + j GROUP BY ALL HAVING count(*) >= 5)
   SELECT image, dr, dc, n, round(CASE WHEN NOT isnan(c) THEN c END, 4) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY image ORDER BY round(CASE WHEN NOT isnan(c) THEN c END, 9) DESC NULLS LAST, dr, dc) = 1""")
 def overlap_search(spark, sf_dir):
     px = T.pixels(spark, sf_dir)
-    return pixels.overlap_search(px.filter("image = 'Brand#11'"), px, 2).filter("rank = 1").drop("rank")
+    return pixels.overlap_search(px.filter("image = 'I0'"), px, 2).filter("rank = 1").drop("rank")
 
 
-FRAMED = POINTS + """, fr AS (SELECT track, CAST(floor(t / 2880) AS BIGINT) AS frame, avg(x) AS x FROM tp GROUP BY ALL),
+FRAMED = POINTS + """, fr AS (SELECT track, CAST(floor(t / 2880) AS BIGINT) AS frame, avg(x) * 0.3712345678 AS x FROM tp GROUP BY ALL),
   ev AS (SELECT track, f AS frame FROM (SELECT DISTINCT track FROM fr), (SELECT unnest(range(2, 15)) AS f)),
   pv AS (SELECT ev.*, (SELECT max(frame) FROM fr WHERE fr.track = ev.track AND fr.frame <= ev.frame) AS a, (SELECT min(frame) FROM fr WHERE fr.track = ev.track AND fr.frame >= ev.frame) AS b FROM ev),
   pa AS (SELECT pv.*, fa.x AS xa, fb.x AS xb FROM pv LEFT JOIN fr fa ON fa.track = pv.track AND fa.frame = a LEFT JOIN fr fb ON fb.track = pv.track AND fb.frame = b)"""
 
 
 def _framed(spark, sf_dir):
-    return T.track_points(spark, sf_dir).groupBy("track", F.floor(F.col("t") / 2880).alias("frame")).agg(F.avg("x").alias("x"))
+    return T.track_points(spark, sf_dir).groupBy("track", F.floor(F.col("t") / 2880).alias("frame")).agg((F.avg("x") * 0.3712345678).alias("x"))
 
 
 @query("padded_timeline", f"WITH {FRAMED} SELECT track, frame, round(CASE WHEN a = b THEN xa ELSE xa + (xb - xa) * (frame - a) / (b - a) END, 4) AS x FROM pa")

@@ -49,5 +49,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, row, col, value): parts laid out on a grid, one image per brand."""
-    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("image"), (F.floor(F.col("p_partkey") / 10) % 10).cast("int").alias("row"), (F.col("p_partkey") % 10).cast("int").alias("col")).agg(F.max("p_size").cast("double").alias("value"))
+    """(image, row, col, value): every part is a pixel; a hundred parts make an image of ten by ten."""
+    key = F.col("p_partkey")
+    image = F.concat(F.lit("I"), F.floor(key / 100).cast("string"))
+    return read(spark, sf_dir, "part").select(image.alias("image"), (F.floor(key / 10) % 10).cast("int").alias("row"), (key % 10).cast("int").alias("col"), F.col("p_size").cast("double").alias("value"))
