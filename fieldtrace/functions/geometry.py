@@ -59,3 +59,10 @@ def by_angle(v: Column) -> Column:
     mean = {c: middle(c) for c in "xy"}
     keyed = F.transform(v, lambda p: F.struct(F.atan2(p["y"] - mean["y"], p["x"] - mean["x"]).alias("a"), p["x"].alias("x"), p["y"].alias("y")))
     return F.transform(F.array_sort(keyed), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+
+
+def axes(v: Column) -> Column:
+    """struct<major, minor>: greatest and least distance of a vertex from the centroid."""
+    c = centroid(v)
+    far = F.transform(v, lambda p: F.hypot(p["x"] - c["x"], p["y"] - c["y"]))
+    return F.struct(F.array_max(far).alias("major"), F.array_min(far).alias("minor"))

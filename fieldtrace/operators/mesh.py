@@ -233,3 +233,12 @@ def warped(points: DataFrame, rim: DataFrame, steps: int, most: float | None = N
         return rows.select("tp", "pt", (F.col("cx") + F.col("dx") * edge).alias("x"), (F.col("cy") + F.col("dy") * edge).alias("y"))
     inside = F.lit(True) if most is None else F.hypot("dx", "dy") / edge <= most
     return rows.select("tp", "pt", *[F.when(inside, F.col(f"d{c}") / edge).alias(c) for c in "xy"])
+
+
+def local_density(near: DataFrame) -> DataFrame:
+    """One over the area (1 at least) of the polygon that a point's neighbours (tp, pt, x, y of the neighbour) make in order of their angle: (tp, pt, area, density).
+
+    Points of fewer than three neighbours have no row.
+    """
+    own = near.groupBy("tp", "pt").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("v")).filter(F.size("v") >= 3)
+    return own.select("tp", "pt", geometry.area(geometry.by_angle(F.col("v"))).alias("area")).withColumn("density", 1 / F.greatest("area", F.lit(1.0)))

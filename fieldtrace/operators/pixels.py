@@ -109,3 +109,67 @@ def overlap_search(fixed: DataFrame, moving: DataFrame, search: int, least: int
     both = moved.join(fixed.select("row", "col", "value"), ["row", "col"]).groupBy("image", "dr", "dc")
     found = both.agg(F.count("*").alias("n"), F.corr("value", "other").alias("similarity")).filter(F.col("n") >= least).withColumn("similarity", F.when(~F.isnan("similarity"), F.round("similarity", 9)))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("image").orderBy(F.desc_nulls_last("similarity"), "dr", "dc")))
+
+
+def roi_values(pixels: DataFrame, rois: DataFrame, how=F.avg) -> DataFrame:
+    """Any aggregate ``how`` of the pixels inside each region (roi, image, x0, y0, x1, y1, v: polygon of struct<x,y> in column and row).
+
+    A region's box is laid out as pixels, so that the search is an equi-join; regions without pixels have null.
+    """
+    from fieldtrace.functions import geometry
+
+    cells = rois.withColumn("row", F.explode(F.sequence(F.floor("y0").cast("int"), F.ceil("y1").cast("int")))).withColumn("col", F.explode(F.sequence(F.floor("x0").cast("int"), F.ceil("x1").cast("int"))))
+    inside = cells.join(pixels, ["image", "row", "col"]).filter(geometry.contains(F.col("v"), F.col("col").cast("double"), F.col("row").cast("double")))
+    found = inside.groupBy("roi", "image").agg(how("value").alias("value"), F.count("*").alias("n"))
+    return rois.select("roi", "image").join(found, ["roi", "image"], "left").na.fill({"n": 0})
+
+
+def polygon_mask(images: DataFrame, rows: int, cols: int, polygons: list) -> DataFrame:
+    """(image, row, col, marked): whether a pixel of the grid lies in any of the polygons."""
+    from fieldtrace.functions import geometry
+
+    grid = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    marked = F.lit(False)
+    for v in polygons:
+        marked = marked | geometry.contains(geometry.polygon(*v), F.col("col").cast("double"), F.col("row").cast("double"))
+    return grid.withColumn("marked", marked)
+
+
+def patches(pixels: DataFrame, size: int) -> DataFrame:
+    """All windows of ``size`` rows and columns that are full: (image, row, col, n, mean), by their first corner."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    spread = pixels.withColumn("i", back).withColumn("j", back).groupBy("image", (F.col("row") - F.col("i")).alias("row"), (F.col("col") - F.col("j")).alias("col"))
+    return spread.agg(F.count("*").alias("n"), F.avg("value").alias("mean")).filter(F.col("n") == size * size)
+
+
+def patch_labels(pixels: DataFrame, size: int, level: float, share: float) -> DataFrame:
+    """Label of each full window: whether ``share`` of its pixels are above ``level``."""
+    marked = patches(pixels.withColumn("value", (F.col("value") > level).cast("double")), size)
+    return marked.select("image", "row", "col", F.col("mean").alias("marked"), (F.col("mean") >= share).alias("label"))
+
+
+def padded(pixels: DataFrame, rows: int, cols: int, pad: int) -> DataFrame:
+    """Images of ``rows`` by ``cols`` with ``pad`` zeros on all sides."""
+    grid = pixels.select("image").distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows + 2 * pad - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols + 2 * pad - 1))))
+    moved = pixels.select("image", (F.col("row") + pad).alias("row"), (F.col("col") + pad).alias("col"), "value")
+    return grid.join(moved, ["image", "row", "col"], "left").na.fill({"value": 0.0})
+
+
+def cropped(pixels: DataFrame, rows: int, cols: int, r0: int, r1: int, c0: int, c1: int) -> DataFrame:
+    """Pixels of [r0, r1) by [c0, c1), counted anew; negative bounds count from the end."""
+    r0, r1 = (b + rows if b < 0 else b for b in (r0, r1))
+    c0, c1 = (b + cols if b < 0 else b for b in (c0, c1))
+    keep = pixels.filter((F.col("row") >= r0) & (F.col("row") < r1) & (F.col("col") >= c0) & (F.col("col") < c1))
+    return keep.select("image", (F.col("row") - r0).alias("row"), (F.col("col") - c0).alias("col"), "value")
+
+
+def transposed(pixels: DataFrame) -> DataFrame:
+    return pixels.select("image", F.col("col").alias("row"), F.col("row").alias("col"), "value")
+
+
+def noisy(pixels: DataFrame, seed: str, share: float) -> DataFrame:
+    """A ``share`` of the pixels, fixed by ``seed``, becomes 0 or 1."""
+    from .reports import uniform
+
+    u = lambda name: uniform(seed, name, F.col("image"), F.col("row"), F.col("col"))
+    return pixels.withColumn("value", F.when(u("where") < share, F.when(u("what") < 0.5, 0.0).otherwise(1.0)).otherwise(F.col("value")))
