@@ -321,7 +321,7 @@ def roc_summary(spark, sf_dir):
 
 
 @query("histogram", """WITH e AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS total FROM events), c AS (SELECT CAST(least(floor((value - lo) / (hi - lo) * 40), 39) AS INTEGER) AS bin, count(*) AS n FROM events, e GROUP BY 1)
-  SELECT CAST(b.bin AS INTEGER) AS bin, round(lo + (b.bin + 0.5) * (hi - lo) / 40, 4) AS centre, coalesce(n, 0) AS n, round(coalesce(n, 0) / total, 4) AS share FROM e, (SELECT unnest(range(40)) AS bin) b LEFT JOIN c ON c.bin = b.bin""")
+  SELECT CAST(b.bin AS INTEGER) AS bin, round(lo + (b.bin + 0.5) * (hi - lo) / 40, 8) AS centre, coalesce(n, 0) AS n, round(coalesce(n, 0) / total, 8) AS share FROM e, (SELECT unnest(range(40)) AS bin) b LEFT JOIN c ON c.bin = b.bin""", 8)
 def histogram(spark, sf_dir):
     return groups.histogram(T.read(spark, sf_dir, "events"), "value", 40)
 

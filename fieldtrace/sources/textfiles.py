@@ -46,3 +46,43 @@ def write_tracks(points: DataFrame, path: str) -> None:
     line = lambda form, c: F.array_join(F.transform("p", lambda p: F.format_string(form, p[c])), ",")
     times = F.array_join(F.transform("p", lambda p: p["t"].cast("long").cast("string")), ",")
     rows.orderBy("track").select(F.concat_ws("\n", F.format_string("Track%03d", "track"), times, line("%.4f", "x"), line("%.4f", "y"))).write.text(path)
+
+
+def read_simulation(spark: SparkSession, path: str) -> DataFrame:
+    """(file, t, track, x, y) of tab-separated simulation files with a header line; a line without seven fields is an error."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").filter(F.trim("value") != "")
+    parts = F.split("value", "\t")
+    rows = rows.withColumn("p", F.when(F.size(parts) == 7, parts).otherwise(F.raise_error(F.concat(F.lit("not seven fields: "), F.col("value"))).cast("array<string>")))
+    number = F.expr("try_cast(p[0] as double)")  # a header line has no number there
+    return rows.withColumn("t", number).filter("t is not null").select("file", "t", F.col("p")[1].cast("long").alias("track"), F.col("p")[2].cast("double").alias("x"), F.col("p")[3].cast("double").alias("y"))
+
+
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """(split, file, number) from a JSON object of lists of files by split; number is the last one in a file's name."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("split", "files"))
+    name = F.element_at(F.split("file", "/"), -1)
+    return raw.select("split", F.explode("files").alias("file")).withColumn("number", F.nullif(F.regexp_extract(name, r"(\d+)\D*$", 1), F.lit("")).cast("long"))
+
+
+def write_splits(splits: DataFrame, path: str) -> None:
+    """One JSON row (split, file) a member, which any reader of JSON lines takes; parts are written by the tasks."""
+    splits.select("split", "file").write.json(path)
+
+
+def outside(splits: DataFrame, folder: str) -> DataFrame:
+    """Members of each split that do not lie under ``folder``: (split, n)."""
+    return splits.filter(~F.col("file").startswith(folder.rstrip("/") + "/")).groupBy("split").agg(F.count("*").alias("n"))
+
+
+def read_index(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """A sample index with a header line; a key that two rows have is an error."""
+    rows = spark.read.csv(path, header=True, inferSchema=True)
+    twice = rows.groupBy(*keys).count().filter("count > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"keys of several rows: {[tuple(r) for r in twice.limit(3).collect()]}")
+    return rows
+
+
+def write_table(table: DataFrame, path: str, suffix: str = "") -> None:
+    """A summary table as CSV with a header; companions of one table differ by ``suffix`` (``_dist``, ``_sig``)."""
+    table.write.option("header", True).csv(path + suffix)

@@ -35,10 +35,10 @@ def test_frames(spark):
 
 
 def test_divergence_by_hand(spark):
-    fields = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0), (2, 0, 2.0), (2, 1, 1.0), (2, 2, 3.0), (2, 3, 4.0)], "tp int, pt int, area double")
-    links = spark.createDataFrame([(1, 0, 0), (1, 1, 1)], "tp int, pt1 int, pt2 int")
-    found = {(r.tp, r.pt): r.rate for r in mesh.divergence(fields, links, "area", 0.5).collect()}
-    assert found == {(1, 0): 2.0, (1, 1): -2.0, (2, 0): 2.0, (2, 1): -2.0}
+    fields = spark.createDataFrame([(4, 7, 12.5), (4, 9, 40.0), (5, 2, 20.0), (5, 3, 31.0), (5, 8, 6.0)], "tp int, pt int, area double")
+    links = spark.createDataFrame([(4, 7, 3), (4, 9, 2)], "tp int, pt1 int, pt2 int")
+    found = {(r.tp, r.pt): r.rate for r in mesh.divergence(fields, links, "area", 4.0).collect()}
+    assert found == {(4, 7): 4.625, (4, 9): -5.0, (5, 3): 4.625, (5, 2): -5.0}
 
 
 def test_loops_and_alpha(spark):

@@ -30,7 +30,7 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
     a, b = rows_of(got.columns, [tuple(r) for r in got.collect()]), rows_of(want.columns, want.fetchall())
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
-        assert all(u == v or isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1.01e-4 * max(1, abs(u)) for u, v in zip(x, y, strict=True)), (x, y)
+        assert all(u == v or isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1e-9 * max(1, abs(u)) for u, v in zip(x, y, strict=True)), (x, y)
 
 
 def test_entry_points(spark):
