@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrace.operators import ranks
+
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -108,16 +111,20 @@ def significance(rows: DataFrame, category: str, score: str, alpha: float = 0.05
     return tests if keep_all else tests.filter(F.col("adjusted") <= alpha)
 
 
-def running_totals(rows: DataFrame, by: str, columns: list[str], buckets: int = 1024) -> DataFrame:
+def tested(rows: DataFrame, category: str, score: str, test: Callable[..., Column], control: list[str] | None = None) -> DataFrame:
+    """level1, level2, p, effect, adjusted: ``test`` makes a p-value column of n1, mean1, var1, n2, mean2, var2."""
+    pairs = level_pairs(moments(rows, category, score), category, control)
+    p = test(*[F.col(c) for c in ("n1", "mean1", "var1", "n2", "mean2", "var2")])
+    return holm(pairs.select("level1", "level2", p.alias("p"), effect_size().alias("effect")))
+
+
+def running_totals(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """Sums of ``columns`` from the greatest ``by`` down to each row; values of ``by`` are distinct.
 
-    Rows are dealt to equal stretches of ``by`` and summed within them; only the stretches' totals, at most
-    ``buckets`` rows, meet in one task.
+    Rows are dealt to stretches of about equal numbers of rows and summed within them; only the stretches' totals meet in one task.
     """
-    ends = rows.agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("hi") - F.col(by)) / (F.col("hi") - F.col("lo")) * (buckets - 1))).otherwise(0)
-    rows = rows.join(F.broadcast(ends), F.lit(True)).withColumn("bucket", place).drop("lo", "hi")
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("bucket", ranks.stretch(by, ranks.bounds(rows, by)))
+    before = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("bucket").agg(*[F.sum(c).alias(f"{c}_all") for c in columns]).select("bucket", *[F.coalesce(F.sum(f"{c}_all").over(before), F.lit(0)).alias(f"{c}_before") for c in columns])
     own = Window.partitionBy("bucket").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(F.broadcast(totals), "bucket").withColumns({c: F.sum(c).over(own) + F.col(f"{c}_before") for c in columns})
@@ -134,10 +141,9 @@ def score_curve(rows: DataFrame) -> DataFrame:
 
 def roc_summary(curve: DataFrame) -> DataFrame:
     """auc by trapezoids from (0, 0), and the score of the point nearest to (0, 1)."""
-    down = Window.orderBy(F.desc("score"))
-    x0, y0 = (F.coalesce(F.lag(c).over(down), F.lit(0.0)) for c in ("fpr", "tpr"))
+    x0, y0 = (F.coalesce(f"before_{c}", F.lit(0.0)) for c in ("fpr", "tpr"))
     area = (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2
-    return curve.withColumn("area", area).agg(F.sum("area").alias("auc"), F.min_by("score", F.struct(F.round(F.pow("fpr", 2) + F.pow(1 - F.col("tpr"), 2), 9), -F.col("score"))).alias("knee"))
+    return ranks.previous(curve, "score", ["fpr", "tpr"]).withColumn("area", area).agg(F.sum("area").alias("auc"), F.min_by("score", F.struct(F.round(F.pow("fpr", 2) + F.pow(1 - F.col("tpr"), 2), 9), -F.col("score"))).alias("knee"))
 
 
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
@@ -186,7 +192,7 @@ def contrast_groups(rows: DataFrame, experiment: str, contrast: str) -> DataFram
 
 def compartments(rows: DataFrame, entity: str, value: str, bins: int, top: int) -> DataFrame:
     """``bins`` evenly placed groups of ``top`` entities by value: (entity, bin); groups may overlap. Too few entities give none."""
-    ranked = rows.select(entity, value).withColumn("r", F.row_number().over(Window.orderBy(value, entity)) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    ranked = ranks.ranked(rows.select(entity, value), value, entity, "r").withColumnRenamed("_n", "n")
     placed = ranked.filter(F.col("n") >= top).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     start = F.floor((F.col("n") - top) * F.col("bin") / max(1, bins - 1))
     return placed.filter((F.col("r") >= start) & (F.col("r") < start + top)).select(entity, value, "bin")
@@ -194,7 +200,8 @@ def compartments(rows: DataFrame, entity: str, value: str, bins: int, top: int)
 
 def hashed_split(rows: DataFrame, key: str, seed: str, test: float, validation: float) -> DataFrame:
     """Column ``split`` of exactly round(n * share) test and validation rows, the first in an order of hashes."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy(F.md5(F.concat_ws("/", F.lit(seed), F.col(key).cast("string"))), key))).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws("/", F.lit(seed), F.col(key).cast("string")))).withColumn("_s", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    ranked = ranks.placed(hashed, ["_s"], ["_h", key], "_r").withColumn("_r", F.col("_r") + 1).drop("_h", "_s")
     a, b = F.round(F.col("_n") * test), F.round(F.col("_n") * validation)
     return ranked.withColumn("split", F.when(F.col("_r") <= a, "test").when(F.col("_r") <= a + b, "validation").otherwise("train")).drop("_r", "_n")
 

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import _beta_fraction, running_totals
+from . import ranks
+from .groups import _beta_fraction, level_pairs, moments, running_totals, student_p
 
 
 def level_names(rows: DataFrame, category: str) -> list:
@@ -87,10 +88,9 @@ def corrected(tests: DataFrame, p: str, keys: list[str], methods: list[str]) ->
 
 def precision_summary(curve: DataFrame) -> DataFrame:
     """auc of precision over recall by trapezoids from (0, 1), and the score where precision² + recall² is greatest."""
-    down = Window.orderBy(F.desc("score"))
-    x0, y0 = F.coalesce(F.lag("tpr").over(down), F.lit(0.0)), F.coalesce(F.lag("precision").over(down), F.lit(1.0))
+    x0, y0 = F.coalesce("before_tpr", F.lit(0.0)), F.coalesce("before_precision", F.lit(1.0))
     area = (F.col("tpr") - x0) * (F.col("precision") + y0) / 2
-    return curve.withColumn("area", area).agg(F.sum("area").alias("auc"), F.max_by("score", F.struct(F.round(F.pow("tpr", 2) + F.pow("precision", 2), 9), "score")).alias("knee"))
+    return ranks.previous(curve, "score", ["tpr", "precision"]).withColumn("area", area).agg(F.sum("area").alias("auc"), F.max_by("score", F.struct(F.round(F.pow("tpr", 2) + F.pow("precision", 2), 9), "score")).alias("knee"))
 
 
 #: Cumulative Poisson(1) probabilities up to 12 draws.

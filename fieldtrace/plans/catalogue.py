@@ -24,7 +24,7 @@ STEPS = POINTS + """, st AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2)
 NEXT = POINTS + """, nx AS (SELECT *, lead(t) OVER w - t AS dt, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM tp WINDOW w AS (PARTITION BY track ORDER BY tp)),
   ve AS (SELECT *, CASE WHEN dt > 0 THEN sqrt(dx * dx + dy * dy) / dt END AS speed FROM nx WHERE dt IS NOT NULL)"""
 FRAMES = """d AS (SELECT datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS tp, event_id, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, value / 500 AS score FROM events),
-  de AS (SELECT tp, row_number() OVER (PARTITION BY tp ORDER BY event_id) - 1 AS pt, x, y, score FROM d)"""
+  de AS (SELECT tp, event_id AS pt, x, y, score FROM d)"""
 PAIRS = FRAMES + f""", pr AS (SELECT a.tp, a.pt AS pt1, b.pt AS pt2, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS dist
   FROM de a JOIN de b ON b.tp = a.tp + 1 AND abs(a.x - b.x) <= {RADIUS} AND abs(a.y - b.y) <= {RADIUS} WHERE sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) < {RADIUS}),
   cl AS (SELECT tp, pt2, pt1, dist FROM pr QUALIFY row_number() OVER (PARTITION BY tp, pt2 ORDER BY dist, pt1) = 1),

@@ -19,11 +19,10 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tp, pt, x, y, score): one frame per day, points numbered within it by event."""
+    """(tp, pt, x, y, score): one frame per day; a point's number is its event's, so that no row waits for another."""
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
     rows = read(spark, sf_dir, "events").withColumn("tp", day)
-    pt = F.row_number().over(Window.partitionBy("tp").orderBy("event_id")) - 1
-    return rows.select("tp", pt.alias("pt"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), (F.col("value") / 500).alias("score"))
+    return rows.select("tp", F.col("event_id").alias("pt"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), (F.col("value") / 500).alias("score"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
