@@ -209,3 +209,44 @@ def without_batch_effect(rows: DataFrame, category: str, batches: list[str], sco
         out = out.join(F.broadcast(spark.createDataFrame(offsets, kinds)), b, "left")
         shift = shift + F.col(f"_{b}")
     return out.withColumn("adjusted", F.when(F.col(category).isNotNull(), F.col(score) - shift)).drop(*[f"_{b}" for b in used])
+
+
+def _t_power(effect: float, n1: float, n2: float, alpha: float) -> float:
+    """Power of the two-sided t-test: the noncentral t is a normal over a chi, whose values are summed on a fine grid."""
+    df, shift = n1 + n2 - 2, effect * math.sqrt(n1 * n2 / (n1 + n2))
+    low, high = 0.0, 1e7
+    for _ in range(100):
+        cut = (low + high) / 2
+        low, high = (cut, high) if student_p(cut, df) > alpha else (low, cut)
+    spread = 9 / math.sqrt(2 * df)
+    s = np.linspace(max(1e-9, 1 - spread), 1 + spread, 1501)
+    log = math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2
+    weight = np.exp(log)
+    tail = np.array([math.erfc((cut * v - shift) / math.sqrt(2)) + math.erfc((cut * v + shift) / math.sqrt(2)) for v in s]) / 2
+    return float((weight * tail).sum() / weight.sum())
+
+
+def needed_samples(effect: float, power: float = 0.8, alpha: float = 0.05, ratio: float = 1.0) -> float:
+    """Size of the first of two samples, the second ``ratio`` times as large, for a two-sided t-test of that power; NaN without an effect."""
+    if not effect > 0:
+        return float("nan")
+    low, high = math.log(2.001 / min(1.0, ratio) / 2 + 0.5), math.log(1e12)
+    if _t_power(effect, math.exp(low), math.exp(low) * ratio, alpha) >= power:
+        return math.exp(low)
+    for _ in range(50):
+        middle = (low + high) / 2
+        n = math.exp(middle)
+        low, high = (middle, high) if _t_power(effect, n, n * ratio, alpha) < power else (low, middle)
+    return math.exp(high)
+
+
+def pairwise_power(rows: DataFrame, category: str, score: str, power: float = 0.8, alpha: float = 0.05, ratio: float = 1.0) -> DataFrame:
+    """level1, level2, effect, samples: what each two levels need; the effect is |m1 - m2| over the root of both variances' sum. Solved on one row a pair."""
+    pairs = level_pairs(moments(rows, category, score), category)
+    effect = F.abs(F.col("mean1") - F.col("mean2")) / F.sqrt(F.pow("std1", 2) + F.pow("std2", 2))
+
+    @F.pandas_udf("double")
+    def samples(effect: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(e) or e == 0 else needed_samples(e, power, alpha, ratio) for e in effect], dtype=float)
+
+    return pairs.select("level1", "level2", effect.alias("effect")).withColumn("samples", samples("effect"))

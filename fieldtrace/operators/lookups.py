@@ -132,3 +132,59 @@ def frames_of(minutes: float, scale: float) -> int:
 
 def to_pixels(microns: Column, space: float) -> Column:
     return microns / space
+
+
+#: The forms of image names, in the order in which they are tried, and the places of their fields' groups.
+NAME_FORMS = (
+    (r"^([a-z0-9_ ]+)-(s([0-9]+))?(z([0-9]+))?(t([0-9]+))?(m([0-9]+))?(((InverseWarp)|(Warp)|(Affine)|(_resp))?\.[a-z]+(\.[a-z]+)*)$", {"channel_name": 1, "tile": 3, "slice": 5, "timepoint": 7, "multi_tile": 9, "suffix": 10}),
+    (r"^([a-z0-9-\. ]+)_s([0-9]+)t([0-9]+)([a-z][a-z0-9 _+-]+?)?(_ORG)?(((InverseWarp)|(Warp)|(Affine))?\.[a-z]+(\.[a-z]+)*)$", {"prefix": 1, "tile": 2, "timepoint": 3, "channel": 4, "suffix": 6}),
+    (r"^([a-z0-9-\. ]+)_s([0-9]+)t([0-9]+)_([a-z][a-z0-9 _+-]+)_ORG(((InverseWarp)|(Warp)|(Affine))?\.[a-z]+(\.[a-z]+)*)$", {"prefix": 1, "tile": 2, "timepoint": 3, "channel_name": 4, "suffix": 5}),
+    (r"^([a-z0-9-\. ]+)-([0-9]+)_s([0-9]+)(c([0-9]+))?(_ORG)?(\.tif)$", {"prefix": 1, "timepoint": 2, "tile": 3, "channel": 5, "suffix": 7}),
+    (r"^([a-z0-9_ ]+)-s([0-9]+)t([0-9]+)(((InverseWarp)|(Warp)|(Affine)|(_resp))?\.[a-z]+(\.[a-z]+)*)$", {"channel_name": 1, "tile": 2, "timepoint": 3, "suffix": 4}),
+)
+#: Names of channels by number.
+CHANNELS = {1: "TL Brightfield", 2: "mCherry", 3: "EGFP", 4: "mKate"}
+
+
+def parsed_name(name: Column) -> dict[str, Column]:
+    """Fields of an image's name by the first of NAME_FORMS that it has; all are null if it has none.
+
+    Numbers that are missing are 0. A channel without a name or number is 1, as is one whose name isn't in CHANNELS; one without digits where a number stands is null;
+    ``key`` is the tile with the channel's name.
+    """
+    fits = [name.rlike("(?i)" + form) for form, _ in NAME_FORMS]
+
+    def field(key: str) -> Column:
+        out = F.lit(None).cast("string")
+        for fit, (form, places) in reversed(list(zip(fits, NAME_FORMS, strict=True))):
+            out = F.when(fit, F.nullif(F.regexp_extract(name, "(?i)" + form, places[key]), F.lit("")) if key in places else F.lit(None)).otherwise(out)
+        return out
+
+    known = F.coalesce(*[F.when(fit, F.lit(True)) for fit in fits])
+    number = lambda key: F.when(known, F.coalesce(field(key).cast("int"), F.lit(0)))
+    by_number = F.create_map(*[F.lit(v) for pair in CHANNELS.items() for v in pair])
+    by_name = F.create_map(*[F.lit(v) for k, n in CHANNELS.items() for v in (n.lower(), k)])
+    raw, said = field("channel"), field("channel_name")
+    told = F.regexp_extract(raw, r"([0-9]+)$", 1).try_cast("int")
+    titled = raw.contains("_")
+    title = F.when(titled, F.regexp_extract(raw, r"^(.*)_[^_]*$", 1))
+    channel = F.when(raw.isNotNull(), told).otherwise(F.coalesce(by_name[F.lower(said)], F.lit(1)))
+    label = F.when(raw.isNotNull(), F.when(titled, title).otherwise(F.coalesce(by_number[told], told.cast("string")))).otherwise(F.coalesce(said, F.lit(CHANNELS[1])))
+    slug = F.lower(F.regexp_replace(label, "[^A-Za-z0-9]+", "_"))
+    out = {k: number(k) for k in ("tile", "timepoint", "slice", "multi_tile")}
+    out |= {"channel": F.when(known, channel), "channel_name": F.when(known, label), "key": F.when(known, F.concat(number("tile").cast("string"), F.lit("-"), slug))}
+    return out
+
+
+def detector_settings(table: DataFrame, column: str, value: str) -> dict:
+    """The one row of a table of detector settings with ``value`` in ``column`` (microscope, training set); none or several are an error."""
+    found = table.filter(F.col(column) == value).limit(2).collect()
+    if len(found) != 1:
+        raise KeyError(f"{len(found)} settings for {column} {value}")
+    return found[0].asDict()
+
+
+def above_thresholds(points: DataFrame, thresholds: DataFrame, detector: str, score: str) -> DataFrame:
+    """Points that reach their detector's ``threshold``, with its ``weight``; names agree in lower case; points of other detectors go."""
+    table = thresholds.select(F.lower(detector).alias("_detector"), "threshold", "weight")
+    return points.join(table, F.lower(detector) == F.col("_detector")).filter(F.col(score) >= F.col("threshold")).drop("_detector")

@@ -242,3 +242,46 @@ def local_density(near: DataFrame) -> DataFrame:
     """
     own = near.groupBy("tp", "pt").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("v")).filter(F.size("v") >= 3)
     return own.select("tp", "pt", geometry.area(geometry.by_angle(F.col("v"))).alias("area")).withColumn("density", 1 / F.greatest("area", F.lit(1.0)))
+
+
+#: Directions whose extremes bound the points that can be vertices of a hull, in turning order.
+COMPASS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+
+
+def _chain(points: pd.DataFrame) -> pd.DataFrame:
+    """Vertices of the convex hull, by the monotone chain; points on an edge aren't."""
+    points = points.sort_values(["x", "y", "pt"]).drop_duplicates(["x", "y"])
+    xy, keep = points[["x", "y"]].to_numpy(), set()
+    for way in (range(len(xy)), range(len(xy) - 1, -1, -1)):
+        chain: list[int] = []
+        for i in way:
+            while len(chain) > 1:
+                (ax, ay), (bx, by), (cx, cy) = xy[chain[-2]], xy[chain[-1]], xy[i]
+                if (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) > 1e-9:
+                    break
+                chain.pop()
+            chain.append(i)
+        keep.update(chain)
+    return points.iloc[sorted(keep)]
+
+
+def hull(points: DataFrame, pieces: int = 64) -> DataFrame:
+    """(tp, pt, x, y) of the vertices of each frame's convex hull; of points in one place the least ``pt``.
+
+    Points inside the polygon of a frame's extremes in eight directions are dropped first. The others
+    meet in ``pieces`` groups a frame, whose vertices then meet, so that a very large frame is split. Points without a place are left out.
+    """
+    points = points.select("tp", "pt", "x", "y").dropna(subset=["tp", "x", "y"])
+    place = F.struct("x", "y")
+    ends = points.groupBy("tp").agg(F.array(*[F.max_by(place, F.struct(a * F.col("x") + b * F.col("y"), "x", "y")) for a, b in COMPASS]).alias("v"))
+    sides = [(F.col("v")[i], F.col("v")[(i + 1) % len(COMPASS)]) for i in range(len(COMPASS))]
+    left = [(b["x"] - a["x"]) * (F.col("y") - a["y"]) - (b["y"] - a["y"]) * (F.col("x") - a["x"]) > 1e-6 for a, b in sides]
+    proper = [a != b for a, b in sides]
+    inside, some = F.lit(True), F.lit(False)
+    for turn, real in zip(left, proper, strict=True):
+        inside, some = inside & (turn | ~real), some | real
+    rest = points.join(ends, "tp").filter(~(inside & some)).drop("v")
+    schema = rest.schema
+    rest = rest.withColumn("piece", F.pmod(F.xxhash64("pt"), F.lit(pieces)))
+    part = rest.groupBy("tp", "piece").applyInPandas(lambda own: _chain(own)[["tp", "pt", "x", "y"]], schema)
+    return part.groupBy("tp").applyInPandas(_chain, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .inference import bootstrap_interval
 from .tracks import order
 
 
@@ -34,6 +35,12 @@ def line_summary(rows: DataFrame, x: str, hue: str, value: str, scale: float = 1
     return out.union(out.filter("x <> 0").withColumn("x", -F.col("x"))) if mirror else out
 
 
+def line_bands(rows: DataFrame, x: str, hue: str, value: str, seed: str, boots: int = 1000) -> DataFrame:
+    """``line_summary`` with bootstrap bounds of the mean, lo and hi; below three values there are none."""
+    rows = rows.dropna(subset=[x, hue, value]).select(F.col(x).alias("x"), F.col(hue).alias("hue"), F.col(value).alias("v"))
+    return bootstrap_interval(rows, ["x", "hue"], "v", seed, boots)
+
+
 def compartment_stats(members: DataFrame, rows: DataFrame, entity: str, x: str, value: str) -> DataFrame:
     """Per x and bin: mean, deviation, quartiles, number and share of all values at that x. ``members`` has (entity, bin)."""
     every = rows.groupBy(x).agg(F.count(value).alias("total"))

@@ -69,3 +69,17 @@ def variance_table(spark, sf_dir):
 def batch_effect(spark, sf_dir):
     rows = inference.without_batch_effect(_priced(spark, sf_dir), "l_returnflag", ["batch"], "l_extendedprice")
     return rows.groupBy("l_returnflag", "batch").agg(F.avg("l_extendedprice").alias("mean"), F.avg("adjusted").alias("adjusted"))
+
+
+@query("pairwise_power")
+def pairwise_power(spark, sf_dir):
+    return inference.pairwise_power(_priced(spark, sf_dir), "o_orderpriority", "l_extendedprice")
+
+
+@query("tested_pairs", f"""WITH {LEVELS}, te AS (SELECT a.cond AS level1, b.cond AS level2, exp(-abs(a.m - b.m) / sqrt(a.v / a.n + b.v / b.n)) AS p,
+    abs(a.m - b.m) / sqrt(((a.n - 1) * a.s * a.s + (b.n - 1) * b.s * b.s) / (a.n + b.n)) AS effect FROM lv a JOIN lv b ON a.cond < b.cond),
+  k AS (SELECT *, row_number() OVER (ORDER BY p, level1, level2) AS k, count(*) OVER () AS m FROM te)
+  SELECT level1, level2, {r('p', 'effect', 'least(1, max((m - k + 1) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) AS adjusted', decimals=5)} FROM k""", 5)
+def tested_pairs(spark, sf_dir):
+    test = lambda n1, m1, v1, n2, m2, v2: F.exp(-F.abs(m1 - m2) / F.sqrt(v1 / n1 + v2 / n2))
+    return groups.tested(_priced(spark, sf_dir), "o_orderpriority", "l_extendedprice", test)

@@ -305,3 +305,27 @@ def noisy_images(spark, sf_dir):
     return pixels.noisy(T.pixels(spark, sf_dir), "salt", 0.1)
 
 
+#: One name in each form, and one in none, for every part; what the fields must be follows from the key.
+@query("parsed_names", """WITH p AS (SELECT p_partkey, (p_partkey % 6)::INTEGER AS f, (p_partkey % 31)::INTEGER AS s, (p_partkey % 457)::INTEGER AS t, (p_partkey % 5)::INTEGER AS c FROM part)
+  SELECT p_partkey, CASE WHEN f < 5 THEN s END AS tile, CASE WHEN f < 5 THEN t END AS timepoint, CASE WHEN f < 5 THEN 0 END AS slice, CASE WHEN f = 0 THEN c WHEN f < 5 THEN 0 END AS multi_tile,
+  CASE f WHEN 0 THEN 2 WHEN 1 THEN c WHEN 2 THEN c WHEN 3 THEN 1 WHEN 4 THEN 1 END AS channel,
+  CASE f WHEN 0 THEN 'MCHERRY' WHEN 1 THEN 'Red' WHEN 2 THEN CASE c WHEN 0 THEN '0' WHEN 1 THEN 'TL Brightfield' WHEN 2 THEN 'mCherry' WHEN 3 THEN 'EGFP' ELSE 'mKate' END WHEN 3 THEN 'TL Brightfield' WHEN 4 THEN 'other dye' END AS channel_name FROM p""")
+def parsed_names(spark, sf_dir):
+    s, t, c = (F.col("p_partkey") % m for m in (31, 457, 5))
+    forms = [
+        F.format_string("MCHERRY-s%dt%dm%d.tif", s, t, c), F.format_string("2020-01 A.b_s%02dt%03dRed_%d_ORG.tif.gz", s, t, c), F.format_string("run-1-%d_s%dc%d_ORG.TIF", t, s, c),
+        F.format_string("run 2_s%dt%d.png", s, t), F.format_string("other dye-s%dt%03d_resp.png", s, t), F.format_string("notes %d", s),
+    ]
+    rows = T.read(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int")).alias("name"))
+    return rows.select("p_partkey", *[v.alias(k) for k, v in lookups.parsed_name(F.col("name")).items() if k != "key"])
+
+
+@query("detector_thresholds", "SELECT event_id, event_type, round(value, 4) AS value, threshold, weight FROM events JOIN (VALUES ('click', 20.0::DOUBLE, 1.0::DOUBLE), ('view', 50.0, 2.0), ('purchase', 5.0, 0.5)) AS t(kind, threshold, weight) ON kind = lower(event_type) WHERE value >= threshold")
+def detector_thresholds(spark, sf_dir):
+    table = spark.createDataFrame([("Click", 20.0, 1.0), ("VIEW", 50.0, 2.0), ("purchase", 5.0, 0.5)], "event_type string, threshold double, weight double")
+    return lookups.above_thresholds(T.read(spark, sf_dir, "events").select("event_id", "event_type", "value"), table, "event_type", "value")
+
+
+@query("line_bands")
+def line_bands(spark, sf_dir):
+    return reports.line_bands(_lines(spark, sf_dir), "q", "cond", "v", "9")

@@ -110,3 +110,10 @@ def longest_perimeter(spark, sf_dir):
 @query("alpha_outline")
 def alpha_outline(spark, sf_dir):
     return mesh.alpha_shape(mesh.delaunay(T.detections(spark, sf_dir), 1000.0), 30.0)
+
+
+@query("hull_points", f"""WITH {FRAMES}, u AS (SELECT tp, x, y, min(pt) AS pt FROM de GROUP BY tp, x, y), an AS (SELECT a.tp, a.pt, a.x, a.y, atan2(b.y - a.y, b.x - a.x) AS g FROM u a JOIN u b ON a.tp = b.tp AND a.pt <> b.pt),
+  ga AS (SELECT *, g - lag(g) OVER (PARTITION BY tp, pt ORDER BY g) AS gap FROM an)
+  SELECT tp, pt, {r('any_value(x) AS x', 'any_value(y) AS y')} FROM ga GROUP BY tp, pt HAVING greatest(coalesce(max(gap), 0), 2 * pi() - (max(g) - min(g))) > pi() + 1e-9""")
+def hull_points(spark, sf_dir):
+    return mesh.hull(T.detections(spark, sf_dir))

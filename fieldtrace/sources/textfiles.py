@@ -86,3 +86,17 @@ def read_index(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 def write_table(table: DataFrame, path: str, suffix: str = "") -> None:
     """A summary table as CSV with a header; companions of one table differ by ``suffix`` (``_dist``, ``_sig``)."""
     table.write.option("header", True).csv(path + suffix)
+
+
+def write_curve(curve: DataFrame, path: str, metadata: dict[str, str] | None = None, plot_only: bool = False) -> None:
+    """A score curve as JSON rows under ``path``/curve and its metadata under ``path``/metadata; ``plot_only`` keeps score, tpr, fpr and precision."""
+    kept = [c for c in curve.columns if not plot_only or c in ("score", "tpr", "fpr", "precision")]
+    curve.select(*kept).write.json(f"{path}/curve")
+    rows = [(k, str(v)) for k, v in sorted((metadata or {}).items())]
+    curve.sparkSession.createDataFrame(rows, "name string, value string").write.json(f"{path}/metadata")
+
+
+def read_curve(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The curve and the (name, value) rows of its metadata. Columns that were dropped are null."""
+    schema = "score double, tp long, fp long, tpr double, fpr double, precision double"
+    return spark.read.schema(schema).json(f"{path}/curve"), spark.read.schema("name string, value string").json(f"{path}/metadata")

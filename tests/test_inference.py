@@ -78,3 +78,14 @@ def test_bootstrap_interval(spark, sf_dir):
     rows = lambda frame: {(r.l_returnflag, r.l_linestatus, r.n): [r.mean, r.lo, r.hi] for r in frame.collect()}
     got, want = rows(entry_points.queries()["bootstrap_interval"](spark, sf_dir)), rows(want)
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+@pytest.mark.parametrize(("effect", "want"), [(0.2, 393.4057), (0.5, 63.7656), (0.8, 25.5246)])
+def test_needed_samples(effect, want):
+    assert inference.needed_samples(effect) == pytest.approx(want, abs=1e-3)
+
+
+def test_pairwise_power(spark):
+    data = [("a", 0.0), ("a", 2.0), ("b", 1.0), ("b", 3.0), ("c", 0.0), ("c", 2.0)]
+    got = {(r.level1, r.level2): (r.effect, r.samples) for r in inference.pairwise_power(spark.createDataFrame(data, "c string, v double"), "c", "v").collect()}
+    assert got["a", "c"] == (0.0, None) and got["a", "b"][0] == pytest.approx(1 / math.sqrt(2)) and got["a", "b"][1] == pytest.approx(inference.needed_samples(1 / math.sqrt(2)))

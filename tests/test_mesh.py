@@ -57,3 +57,18 @@ def test_warp_there_and_back(spark):
     back = mesh.warped(mesh.warped(points, rim, 72), rim, 72, inverse=True)
     got, want = ({r.pt: (r.x, r.y) for r in df.collect()} for df in (back, points))
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_hull_of_small_sets(spark):
+    rng = np.random.default_rng(8)
+    sets = [[(0.0, 0.0)], [(0.0, 0.0), (0.0, 0.0)], [(float(i), float(2 * i)) for i in range(5)], [(float(a), float(b)) for a in range(4) for b in range(4)], [tuple(map(float, v)) for v in rng.integers(0, 9, (60, 2))]]
+    sets.append([(float(np.cos(a)), float(np.sin(a))) for a in np.linspace(0, 6.2, 40)])
+    rows = [(t, i, x, y) for t, s in enumerate(sets) for i, (x, y) in enumerate(s)] + [(0, 9, None, 1.0)]
+    got = {}
+    for r in mesh.hull(spark.createDataFrame(rows, "tp int, pt long, x double, y double")).collect():
+        got.setdefault(r.tp, set()).add((r.x, r.y))
+    def vertex(p, others):  # not within the span of directions to the others
+        angles = sorted(np.arctan2(q[1] - p[1], q[0] - p[0]) for q in others if q != p)
+        gaps = [b - a for a, b in zip(angles, [*angles[1:], angles[0] + 2 * np.pi], strict=True)] if angles else [7]
+        return max(gaps) > np.pi + 1e-9
+    assert got == {t: {p for p in s if vertex(p, set(s))} for t, s in enumerate(sets)}

@@ -25,3 +25,13 @@ def test_tracks(spark, tmp_path):
     textfiles.write_tracks(got, f"file://{tmp_path}/out")
     back = textfiles.read_tracks(spark, f"file://{tmp_path}/out").drop("file", "track")
     assert sorted(tuple(r) for r in back.collect()) == sorted(w[1:] for w in want)
+
+
+def test_curves(spark, tmp_path):
+    curve = spark.createDataFrame([(0.9, 1, 0, 0.5, 0.0, 1.0), (0.4, 2, 1, 1.0, 0.5, 2 / 3)], "score double, tp long, fp long, tpr double, fpr double, precision double")
+    textfiles.write_curve(curve, f"file://{tmp_path}/full", {"detector": "a", "iterations": 5})
+    textfiles.write_curve(curve, f"file://{tmp_path}/plot", plot_only=True)
+    back, data = textfiles.read_curve(spark, f"file://{tmp_path}/full")
+    assert sorted(back.collect()) == sorted(curve.collect()) and {tuple(r) for r in data.collect()} == {("detector", "a"), ("iterations", "5")}
+    plot, data = textfiles.read_curve(spark, f"file://{tmp_path}/plot")
+    assert {(r.score, r.tp, r.precision) for r in plot.collect()} == {(0.9, None, 1.0), (0.4, None, 2 / 3)} and data.count() == 0
