@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lines, media, mixing, packing, passages, simhash, suffixes, toxicity, warc
+from . import conversations, fill_middle, licenses, lines, media, mixing, packing, passages, shards, simhash, suffixes, toxicity, warc
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fim_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_repairs(table(spark, sf_dir, "conversations"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif": op1_gif,
     "op2_simhash": op2_simhash,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_conversations": op12_conversations,
+    "op13_shards": op13_shards,
 }
 
 ORACLES: dict[str, str] = {
