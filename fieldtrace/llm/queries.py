@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, fill_middle, licenses, lines, media, mixing, packing, passages, shards, simhash, suffixes, toxicity, warc
+from . import conversations, fill_middle, licenses, lines, media, mixing, oracles, packing, passages, shards, simhash, suffixes, toxicity, warc
 from .common import table
 
 
@@ -79,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op11_fill_middle": oracles.FILL_MIDDLE,
+    "op12_conversations": oracles.CONVERSATIONS,
+    "op13_shards": oracles.SHARDS,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
              d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
