@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
-from operator import and_
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranks
+from . import ranks, resampling
 from .groups import _beta_fraction, level_pairs, moments, running_totals, student_p
 
 
@@ -114,37 +109,8 @@ def bootstrap_bounds(rows: DataFrame, by: list[str], key: list[str], score: str,
 
 
 def bootstrap_interval(rows: DataFrame, by: list[str], score: str, seed: str, boots: int, ci: float = 0.95) -> DataFrame:
-    """As ``bootstrap_bounds``, with one draw for all equal scores of a group.
-
-    The sum of n Poisson(1) weights is a Poisson(n) weight, so the resamples have the same distribution, and the work
-    is distinct scores times ``boots``. Draws are seeded by (seed, group, score): reruns agree.
-    """
-    counted = rows.select(*by, F.col(score).cast("double").alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        names = None
-        for batch in batches:
-            names = batch.schema
-            for *group, v, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                digest = hashlib.sha256(repr((seed, group, v)).encode()).digest()
-                w = np.random.default_rng(int.from_bytes(digest[:16])).poisson(n, boots).astype(float)
-                own = sums.setdefault(tuple(group), np.zeros((2, boots)))
-                own += w * v, w
-        for group, (s, w) in sums.items():
-            columns = [pa.array([x] * boots, names.field(c).type) for c, x in zip(by, group, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(range(1, boots + 1), pa.int32()), pa.array(s), pa.array(w)], [*by, "boot", "s", "w"])
-
-    kinds = dict(counted.dtypes)
-    sums = counted.mapInArrow(drawn, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "boot int", "s double", "w double"]))
-    means = sums.groupBy(*by, "boot").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
-    bound = lambda q: F.percentile(F.when(F.col("w") > 0, F.col("s") / F.col("w")), q)
-    bounds = means.groupBy(*by).agg(bound((1 - ci) / 2).alias("lo"), bound((1 + ci) / 2).alias("hi"))
-    whole = counted.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), F.sum("_n").alias("n"))
-    other = bounds.toDF(*[f"_{c}" for c in by], "lo", "hi")
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-    enough = lambda c: F.when(F.col("n") >= 3, F.col(c)).alias(c)
-    return whole.join(other, same).select(*by, "mean", enough("lo"), enough("hi"), "n")
+    """Mean, n and bounds of the mean of each group as ``resampling.bootstrap`` draws them, with one draw for all equal scores of a group."""
+    return resampling.bootstrap(rows, by, score, resampling.MEAN, seed, boots, ci).withColumnRenamed("centre", "mean")
 
 
 def _dummies(values: pd.Series) -> np.ndarray:

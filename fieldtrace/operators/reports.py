@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import resampling
+from .groups import PERCENTILES, category_summary
 from .inference import bootstrap_interval
 from .tracks import order
 
@@ -16,18 +18,54 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def envelope(rows: DataFrame, keys: list[str], value: str, kind: str) -> DataFrame:
-    """Centre and band of each key: ``std`` about the mean, ``iqr`` about the median; one value has no band, none no row."""
+    """Centre and band of each key; one value has no band, none no row.
+
+    ``std`` is about the mean, ``iqr`` about the median, ``mean ci`` and ``median ci`` are bootstrap intervals (1000 resamples;
+    below three values there are none).
+    """
     if kind == "std":
         out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("centre"), F.stddev_pop(value).alias("s"))
         out = out.select(*keys, "n", "centre", (F.col("centre") - F.col("s")).alias("low"), (F.col("centre") + F.col("s")).alias("high"))
     elif kind == "iqr":
         out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, [0.25, 0.5, 0.75]).alias("p"))
         out = out.select(*keys, "n", F.col("p")[1].alias("centre"), F.col("p")[0].alias("low"), F.col("p")[2].alias("high"))
+    elif kind in ("mean ci", "median ci"):
+        return resampling.bootstrap(rows, keys, value, resampling.MEAN if kind == "mean ci" else resampling.MEDIAN).select(*keys, "n", "centre", F.col("lo").alias("low"), F.col("hi").alias("high"))
     else:
         raise ValueError(f"no envelope {kind}")
     return out.filter("n > 0").select(*keys, "n", "centre", *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("low", "high")])
 
 
+def with_intervals(stats: DataFrame, rows: DataFrame, keys: list[str], value: str, seed: str = "0", boots: int = 1000) -> DataFrame:
+    """``stats``, one row a key, with bootstrap bounds mean_lo, mean_hi, median_lo and median_hi of ``value``; null keys match."""
+    for name, statistic in (("mean", resampling.MEAN), ("median", resampling.MEDIAN)):
+        found = resampling.bootstrap(rows, keys, value, statistic, seed, boots)
+        found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        stats = stats.join(found, same, "left").drop(*[f"_{k}" for k in keys])
+    return stats
+
+
+def summary_intervals(rows: DataFrame, categories: list[str], score: str, seed: str = "0", boots: int = 1000) -> DataFrame:
+    """``category_summary`` with bootstrap bounds of mean and median; below three values there are none."""
+    return with_intervals(category_summary(rows, categories, score), rows, categories, score, seed, boots)
+
+
+def compartment_intervals(members: DataFrame, rows: DataFrame, entity: str, x: str, value: str, bins: int, seed: str = "0", boots: int = 1000) -> DataFrame:
+    """Per x and bin: mean, deviation, five percentiles, n, support and bootstrap bounds of mean and median.
+
+    ``members`` has (entity, bin); it must have ``bins`` bins that hold two entities or more each, else it is an error.
+    """
+    found = members.groupBy("bin").agg(F.count_distinct(entity).alias("n")).filter("n > 1").count()
+    if found < bins:
+        raise ValueError(f"{found} of {bins} compartments have more than one {entity}")
+    every = rows.groupBy(x).agg(F.count(value).alias("total"))
+    inside = members.join(rows, entity)
+    stats = inside.groupBy(x, "bin").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.percentile(value, list(PERCENTILES)).alias("p"), F.count(value).alias("n"))
+    stats = stats.join(every, x).select(x, "bin", "mean", "std", *[F.col("p")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(PERCENTILES)], "n", (F.col("n") / F.col("total")).alias("support"))
+    return with_intervals(stats, inside, [x, "bin"], value, seed, boots)
+
+
 def line_summary(rows: DataFrame, x: str, hue: str, value: str, scale: float = 1.0, mirror: bool = False) -> DataFrame:
     """Mean and number of complete rows by x and hue; with ``mirror`` also at -x."""
     rows = rows.dropna(subset=[x, hue, value]).select(F.col(x).alias("x"), F.col(hue).alias("hue"), (F.col(value) * scale).alias("v"))
