@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import cut, parts, text_or_empty
 
@@ -389,8 +390,8 @@ def substring_removal(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of documents.
 
     Null texts are empty. Rows without a doc_id have no order: nothing is removed from them, and they remove
-    nothing. Rows that share a doc_id are one document to each other. Other columns are ignored; an
-    empty table gives no rows.
+    nothing. Rows that share a doc_id are one document to each other. A text of any length is one row, cut to
+    overlapping chunks of ``CHUNK`` bytes inside. Other columns are ignored; an empty table gives no rows.
     """
 
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
@@ -409,11 +410,14 @@ def substring_removal(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their repeated bytes, all columns kept; those of which nothing is left go.
 
-    Bytes that no longer make a character, where a match began or ended inside one, go too.
+    Bytes that no longer make a character, where a match began or ended inside one, go too. Null texts stay null; rows
+    without a doc_id lose nothing and take nothing from others; rows that share an id are one document to each other, so
+    repeated rows stay alike; a text of any length is one row; columns may have any names; an empty table gives no rows.
     """
-    names, kinds = docs.columns, dict(docs.dtypes)
-    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.struct(*[c for c in names if c != "text"]).alias("rest"), F.col("text").isNull().alias("none"))
-    rest = inner.schema["rest"].dataType.simpleString()
+    names, kinds = docs.columns, docs.schema
+    own = [F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"]
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.struct(*own).alias("rest"), F.col("text").isNull().alias("none"))
+    schema = StructType([StructField("text", StringType()), inner.schema["rest"], StructField("none", BooleanType())])
 
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
         found, kept, out = _spans_of(spans), [], []
@@ -427,5 +431,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return pa.table({"text": pa.array(out, pa.string()), "rest": rows.column("rest"), "none": rows.column("none")})
 
     texts, spans = _removal(inner)
-    out = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, f"text string, rest {rest}, none boolean")
-    return out.select(*[F.when(~F.col("none"), F.col("text")).cast(kinds["text"]).alias(c) if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in names])
+    out = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, schema)
+    return out.select(*[F.when(~F.col("none"), F.col("text")).cast(kinds["text"].dataType).alias(c) if c == "text" else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(names)])

@@ -65,3 +65,14 @@ def test_texts_lose_what_repeats(spark, odd):
     rows = {(r.doc_id, r.text) for r in kept.collect()}
     assert (4, "same text of some words " * 30) in rows and not any(k == 5 and t and t.startswith("same text of") for k, t in rows)
     assert (2, None) in rows and (1, "") in rows
+
+
+def test_columns_of_any_name(spark):
+    text = "a passage of well over fifty bytes that two documents have in full"
+    rows = [(1, text, "x", 1, ("p", 2)), (2, f"{text} and more", None, None, None), (2, f"{text} and more", None, None, None), (None, None, "y", 3, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, `my col` string, `n.chars` long, rest struct<`a b`:string,`c.d`:int>").withColumnRenamed("rest", "tick`ed")
+    got = suffixes.without_repeats(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert sorted((r.text or "", r["my col"] or "", r["n.chars"] or 0) for r in got.collect()) == [("", "y", 3), (" and more", "", 0), (" and more", "", 0), (text, "x", 1)]
+    assert [tuple(r[4]) for r in got.filter("doc_id = 1").collect()] == [("p", 2)]
+    assert suffixes.without_repeats(df.limit(0)).count() == 0
