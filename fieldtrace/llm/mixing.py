@@ -108,7 +108,7 @@ def taken(docs: DataFrame, share: float = SHARE, passes: int = PASSES) -> DataFr
 def mix_words(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of documents.
 
-    Null texts have size 0; a null doc_id is kept; other columns aren't read; the rest is as in ``taken``.
+    Null texts have size 0 and texts of any length their whole one; a null doc_id is kept; other columns aren't read; the rest is as in ``taken``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"))
     return taken(rows).select("doc_id", "size", "source_size", "target", "taken")

@@ -204,7 +204,8 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
     Null texts and texts without words have fingerprint zero and are linked like any other. A null
     doc_id is kept and never becomes a component_id unless its whole group has no other; repeated rows
-    are repeated in the result; other columns are ignored; an empty table gives no rows.
+    are repeated in the result; a text of any length is one row and read whole;
+    other columns are ignored; an empty table gives no rows.
     """
     return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

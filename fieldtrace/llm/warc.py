@@ -198,7 +198,11 @@ def read(spark, folder: str) -> DataFrame:
 
 def archived(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: all pages written to archives in the
-    shared folder and read back. An empty table gives no rows."""
+    shared folder and read back.
+
+    A null html is the empty payload; null page_ids are kept and come last; repeated rows are records of their own;
+    a payload of any length is one record; other columns aren't read; an empty table gives no rows.
+    """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid4().hex}"
     if write(pages, folder).isEmpty():
