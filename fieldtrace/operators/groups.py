@@ -172,7 +172,7 @@ def outlier_bands(rows: DataFrame, category: str, score: str, least: float, most
     own = rows.groupBy(category).agg(F.avg(score).alias("m"), F.stddev_pop(score).alias("s"))
     z = (F.col(score) - F.col("m")) / F.col("s")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    out = rows.join(F.broadcast(own), category).groupBy(category).agg(count((z > least) & (z <= most)).alias("above"), count((z < -least) & (z >= -most)).alias("below"), F.count("*").alias("n"))
+    out = rows.join(own, category).groupBy(category).agg(count((z > least) & (z <= most)).alias("above"), count((z < -least) & (z >= -most)).alias("below"), F.count("*").alias("n"))
     return out.withColumn("share", (F.col("above") + F.col("below")) / F.col("n"))
 
 

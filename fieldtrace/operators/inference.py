@@ -14,9 +14,16 @@ from . import ranks, resampling
 from .groups import _beta_fraction, level_pairs, moments, running_totals, student_p
 
 
+#: Most levels of a category whose pairs are tested; most combinations of levels that a linear model is fitted on.
+LEVELS, CELLS = 1000, 100_000
+
+
 def level_names(rows: DataFrame, category: str) -> list:
-    """Distinct levels in order; a column of categories has few."""
-    return [row[0] for row in rows.select(category).filter(F.col(category).isNotNull()).distinct().orderBy(category).collect()]
+    """Distinct levels in order; more than ``LEVELS`` are an error, as every pair of them is a row."""
+    names = [row[0] for row in rows.select(category).filter(F.col(category).isNotNull()).distinct().limit(LEVELS + 1).collect()]
+    if len(names) > LEVELS:
+        raise ValueError(f"more than {LEVELS} levels of {category}")
+    return sorted(names)
 
 
 def rank_tests(rows: DataFrame, category: str, score: str) -> DataFrame:
@@ -118,9 +125,13 @@ def _dummies(values: pd.Series) -> np.ndarray:
 
 
 def _cells(rows: DataFrame, factors: list[str], score: str) -> pd.DataFrame:
-    """n, mean and sum of squares around it for each combination of levels; few rows, and the only ones that leave Spark."""
+    """n, mean and sum of squares around it for each combination of levels, the only rows that leave Spark; more than ``CELLS`` are an error."""
     kept = rows.dropna(subset=[*factors, score])
-    return kept.groupBy(*factors).agg(F.count("*").alias("n"), F.avg(score).alias("m"), (F.var_pop(score) * F.count("*")).alias("q")).orderBy(*factors).toPandas()
+    cells = kept.groupBy(*factors).agg(F.count("*").alias("n"), F.avg(score).alias("m"), (F.var_pop(score) * F.count("*")).alias("q"))
+    cells = cells.limit(CELLS + 1).toPandas()
+    if len(cells) > CELLS:
+        raise ValueError(f"more than {CELLS} combinations of {factors}")
+    return cells.sort_values(factors, ignore_index=True)
 
 
 def fisher_p(f: float, d1: float, d2: float) -> float:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry
 
-TRIANGLES = "tp int, a int, b int, c int, xa double, ya double, xb double, yb double, xc double, yc double"
+TRIANGLES = "tp int, a long, b long, c long, xa double, ya double, xb double, yb double, xc double, yc double"
 
 
 def _circle(p: np.ndarray, corners: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def loops(outline: DataFrame) -> DataFrame:
         out = [(rows["tp"].iloc[0], i, k, pt) for i, walk in enumerate(found) for k, pt in enumerate(walk)]
         return pd.DataFrame(out, columns=["tp", "loop", "place", "pt"])
 
-    return outline.groupBy("tp").applyInPandas(frame, "tp int, loop int, place int, pt int")
+    return outline.groupBy("tp").applyInPandas(frame, "tp int, loop int, place int, pt long")
 
 
 def longest_loop(walks: DataFrame) -> DataFrame:

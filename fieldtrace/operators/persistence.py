@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tracks import order
+from .series import unwrapped
+from .tracks import order, rolling_mean, velocity
+from .written import written
 
 
 def rolling_fit(points: DataFrame, window: int, time: str, field: str) -> DataFrame:
@@ -84,3 +86,52 @@ def scalars(points: DataFrame, runs: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     share = F.coalesce("held", F.lit(0)) / F.col("n")
     return rows.join(held, "track", "left").select("track", "duration", "distance", "displacement", ratio("displacement", "distance").alias("straightness"), ratio("displacement", "duration").alias("velocity"), ratio("distance", "duration").alias("speed"), share.alias("persistent"), (1 - share).alias("quiescent"))
+
+
+def timeline(points: DataFrame, factor: int = 4, window: int = 7, smooth: int = 5, cutoff: float = 2.5, noise: int = 5) -> DataFrame:
+    """The whole chain from positions to persistent stretches, on ``factor`` times as many even times of each track.
+
+    Positions are fitted in windows of ``window`` points and averaged over ``smooth * factor`` times; headings of the steps
+    between them are unwrapped, and their slope in windows of ``window`` times is persistent where it is under ``cutoff`` degrees a
+    unit of time, without runs and holes shorter than ``noise``. Gives (track, tp, t, x, y, speed, angle, slope, flat):
+    the last time of a track has no step, so null from speed on. Tracks shorter than ``window`` have no row.
+    """
+    even = smoothed(points, window, factor).withColumnRenamed("place", "tp")
+    if smooth > 0:
+        for c in "xy":
+            mean = rolling_mean(even, smooth * factor, c).withColumnRenamed(f"{c}_mean", f"_{c}")
+            even = even.join(mean, ["track", "tp"]).drop(c).withColumnRenamed(f"_{c}", c)
+    even = written(even.select("track", "tp", "t", "x", "y"))
+    steps = velocity(even)
+    angle = unwrapped(steps, "heading")
+    slopes = rolling_fit(angle.join(even.select("track", "tp", "t"), ["track", "tp"]), window, "t", "angle").drop("intercept")
+    flat = flat_mask(slopes, cutoff, noise).select("track", "tp", "slope", "flat")
+    out = even.join(steps.select("track", "tp", "speed"), ["track", "tp"], "left").join(angle, ["track", "tp"], "left").join(flat, ["track", "tp"], "left")
+    return written(out.select("track", "tp", "t", "x", "y", "speed", "angle", "slope", "flat"))
+
+
+def stretches(chain: DataFrame) -> DataFrame:
+    """Runs of persistent steps of a ``timeline``: (track, start, stop, n)."""
+    rows = chain.filter("flat is not null").withColumn("run", _runs("flat"))
+    return rows.filter("flat").groupBy("track", "run").agg(F.min("tp").alias("start"), F.max("tp").alias("stop"), F.count("*").alias("n")).drop("run")
+
+
+def waveform(chain: DataFrame) -> DataFrame:
+    """(track, tp, t, persistent, waveform): whether a time lies in a stretch, its last one left out, and its speed if so."""
+    runs = stretches(chain).select("track", F.explode(F.when(F.col("stop") > F.col("start"), F.sequence("start", F.col("stop") - 1))).alias("tp"), F.lit(True).alias("inside"))
+    rows = chain.join(runs, ["track", "tp"], "left").withColumn("persistent", F.coalesce("inside", F.lit(False)))
+    return rows.select("track", "tp", "t", "persistent", F.when(F.col("persistent"), F.col("speed")).alias("waveform"))
+
+
+def persistence_at(chain: DataFrame, time: float, span: float = 1.0) -> DataFrame:
+    """(track, persistent, quiescent): shares of the times from ``time`` on and before ``time + span``, of the tracks that have any."""
+    share = F.avg(F.col("persistent").cast("double"))
+    return waveform(chain).filter((F.col("t") >= time) & (F.col("t") < time + span)).groupBy("track").agg(share.alias("persistent"), (1 - share).alias("quiescent"))
+
+
+def sampled_waveform(chain: DataFrame, times: list[float]) -> DataFrame:
+    """(track, time, waveform): mean speed of the persistent times from each of ``times`` up to the next; the last has none, as have times without persistence."""
+    ends = F.array(*[F.struct(F.lit(float(a)).alias("time"), F.lit(float(b)).alias("next")) for a, b in zip(times, [*times[1:], times[-1]], strict=True)])
+    each = chain.select("track").distinct().select("track", F.explode(ends).alias("e")).select("track", "e.time")
+    own = waveform(chain).filter("persistent").select("track", "waveform", F.try_element_at(F.filter(ends, lambda e: (e["time"] <= F.col("t")) & (F.col("t") < e["next"])), F.lit(1))["time"].alias("time"))
+    return each.join(own.groupBy("track", "time").agg(F.avg("waveform").alias("waveform")), ["track", "time"], "left")

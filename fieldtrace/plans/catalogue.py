@@ -240,11 +240,11 @@ def linked_tracks(spark, sf_dir):
     return linking.chains(points, spatial.nearest_pairs(spatial.next_frames(points, RADIUS, strict=True)))
 
 
-ENDS = FRAMES + """, e AS (SELECT pt + tp * 100000 AS track, tp * 2.0 AS t0, x AS x0, y AS y0, tp * 2.0 + 1 AS t1, x AS x1, y AS y1 FROM de)"""
+ENDS = FRAMES + """, e AS (SELECT pt AS track, tp * 2.0 AS t0, x AS x0, y AS y0, tp * 2.0 + 1 AS t1, x AS x1, y AS y1 FROM de)"""
 
 
 def _ends(spark, sf_dir):
-    return T.detections(spark, sf_dir).select((F.col("pt") + F.col("tp").cast("long") * 100000).alias("track"), F.lit(1).alias("n"), (F.col("tp") * 2.0).alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("tp") * 2.0 + 1).alias("t1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    return T.detections(spark, sf_dir).select(F.col("pt").alias("track"), F.lit(1).alias("n"), (F.col("tp") * 2.0).alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("tp") * 2.0 + 1).alias("t1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
 
 
 @query("gap_candidates", f"""WITH {ENDS}, c AS (SELECT b.track, a.track AS before, b.t0 - a.t1 AS lag, sqrt(power(a.x1 - b.x0, 2) + power(a.y1 - b.y0, 2)) AS dist FROM e a JOIN e b ON a.track <> b.track AND b.t0 - a.t1 > 0 AND b.t0 - a.t1 <= 3.5 AND abs(a.x1 - b.x0) <= 6
@@ -255,7 +255,7 @@ def gap_candidates(spark, sf_dir):
 
 @query("closed_tracks")
 def closed_tracks(spark, sf_dir):
-    return linking.closed(_ends(spark, sf_dir), 1.5, 3, rounds=3)
+    return linking.closed(_ends(spark, sf_dir), 1.5, 3)
 
 
 def _orders(spark, sf_dir):

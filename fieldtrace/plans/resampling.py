@@ -57,7 +57,7 @@ def bootstrap_deviation(spark, sf_dir):
 
 
 @query("summary_intervals", f"""WITH {draws(BALANCES, ['cond'], '0')}, {intervals(['cond'])}, q AS (SELECT cond, {', '.join(f'quantile_cont(v, {p}) AS p{round(p * 100):02d}' for p in PERCENTILES)}, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM ({BALANCES}) GROUP BY cond)
-  SELECT cond, {r(*[f'p{round(p * 100):02d}' for p in PERCENTILES], 'q.mean AS mean', 'std', 'mean_lo', 'mean_hi', 'median_lo', 'median_hi', decimals=3)}, n FROM q JOIN iv USING (cond)""", 3)
+  SELECT cond, {r(*[f'p{round(p * 100):02d}' for p in PERCENTILES], 'q.mean AS mean', 'std', 'mean_lo', 'mean_hi', 'median_lo', 'median_hi', decimals=6)}, n FROM q JOIN iv USING (cond)""", 6)
 def summary_intervals(spark, sf_dir):
     return reports.summary_intervals(_balances(spark, sf_dir), ["cond"], "v")
 
@@ -67,14 +67,14 @@ def _envelope(kind: str):
 
 
 for _name in ("mean", "median"):
-    query(f"{_name}_envelope", f"WITH {draws(BALANCES, ['cond', 'nation'], '0')}, {intervals(['cond', 'nation'])} SELECT cond, nation, size AS n, {r(f'{_name} AS centre', f'{_name}_lo AS low', f'{_name}_hi AS high', decimals=3)} FROM iv", 3)(_envelope(f"{_name} ci"))
+    query(f"{_name}_envelope", f"WITH {draws(BALANCES, ['cond', 'nation'], '0')}, {intervals(['cond', 'nation'])} SELECT cond, nation, size AS n, {r(f'{_name} AS centre', f'{_name}_lo AS low', f'{_name}_hi AS high', decimals=6)} FROM iv", 6)(_envelope(f"{_name} ci"))
 
 
 DAYS = "SELECT datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS week, user_id % 3 AS bin, value AS v FROM events"
 
 
 @query("compartment_intervals", f"""WITH {draws(DAYS, ['week', 'bin'], '0', 200)}, {intervals(['week', 'bin'])}, q AS (SELECT week, bin, {', '.join(f'quantile_cont(v, {p}) AS p{round(p * 100):02d}' for p in PERCENTILES)}, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM ({DAYS}) GROUP BY week, bin)
-  SELECT week, bin, {r(*[f'p{round(p * 100):02d}' for p in PERCENTILES], 'q.mean AS mean', 'std', 'n / sum(n) OVER (PARTITION BY week) AS support', 'mean_lo', 'mean_hi', 'median_lo', 'median_hi', decimals=3)}, n FROM q JOIN iv USING (week, bin)""", 3)
+  SELECT week, bin, {r(*[f'p{round(p * 100):02d}' for p in PERCENTILES], 'q.mean AS mean', 'std', 'n / sum(n) OVER (PARTITION BY week) AS support', 'mean_lo', 'mean_hi', 'median_lo', 'median_hi', decimals=6)}, n FROM q JOIN iv USING (week, bin)""", 6)
 def compartment_intervals(spark, sf_dir):
     week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7)
     rows = T.read(spark, sf_dir, "events").select(F.col("user_id").alias("track"), week.alias("week"), F.col("value").alias("v"))
