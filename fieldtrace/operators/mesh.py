@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry
 
+from .written import written
+
 TRIANGLES = "tp int, a long, b long, c long, xa double, ya double, xb double, yb double, xc double, yc double"
 
 
@@ -24,16 +26,17 @@ def _circle(p: np.ndarray, corners: np.ndarray) -> np.ndarray:
     return np.column_stack([np.where(flat[:, None], 0, u + a), np.where(flat, np.inf, (u * u).sum(1))])
 
 
-def triangulate(xy: np.ndarray) -> np.ndarray:
-    """Delaunay triangles of one frame by insertion, as sorted rows of indices; none for points on one line.
+def triangulate(xy: np.ndarray, moved: np.ndarray | None = None) -> np.ndarray:
+    """Delaunay triangles by insertion, as sorted rows of indices; none for points on one line.
 
-    Points are moved by less than 1e-7 of the frame's extent, by their index, so that points on one circle have one answer.
+    Points are moved by less than 1e-7 of their extent, by their index, so that points on one circle have one answer, unless
+    ``moved`` has moved places in units of an extent.
     """
     if len(xy) < 3 or np.linalg.matrix_rank(xy - xy[0], tol=1e-9) < 2:
         return np.empty((0, 3), int)
     n, span = len(xy), float(np.ptp(xy, axis=0).max())
     k = np.arange(1, n + 1)
-    p = (xy - xy.mean(0)) / span + 1e-7 * np.stack([np.modf(k * 0.6180339887)[0], np.modf(k * 0.7548776662)[0]], 1)
+    p = moved - moved.mean(0) if moved is not None else (xy - xy.mean(0)) / span + 1e-7 * np.stack([np.modf(k * 0.6180339887)[0], np.modf(k * 0.7548776662)[0]], 1)
     p = np.vstack([p, [[-1e3, -1e3], [1e3, -1e3], [0, 1e3]]])
     corners, circles, used = np.zeros((4 * n + 8, 3), int), np.full((4 * n + 8, 3), -1.0), 1
     corners[0] = n, n + 1, n + 2
@@ -54,24 +57,76 @@ def triangulate(xy: np.ndarray) -> np.ndarray:
     return np.sort(corners[:used][alive], 1)
 
 
+#: Points of a tile of a frame, about. Margin of halos and circles in units of the frame's extent, and how far points are moved.
+TILE, MARGIN, SHIFT = 2000, 1e-6, 1e-7
+_CANDIDATE = TRIANGLES + ", sure boolean, cx double, cy double, r2 double"
+
+
+def _tiles(points: DataFrame, max_distance: float) -> DataFrame:
+    """Points of distinct places with moved places (u, v) in units of their frame's extent, their tile (i, j), the tiles' side and their last numbers.
+
+    Of coincident points the least ``pt`` stands for all. Points are moved by their number, so that points on one circle have one answer in every tile.
+    """
+    rows = points.filter("x is not null and y is not null").groupBy("tp", "x", "y").agg(F.min("pt").alias("pt"))
+    ends = rows.groupBy("tp").agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo_", F.min), ("hi_", F.max))], F.count("*").alias("n"))
+    wide, high = F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y")
+    span = F.greatest(wide, high)
+    side = F.least(F.lit(1.0), F.greatest(F.sqrt(wide * high * TILE / F.col("n")) / span, max_distance / span + 2 * MARGIN))
+    ends = ends.filter(span > 0).select("tp", "lo_x", "lo_y", span.alias("span"), side.alias("side"), *[(F.ceil(w / span / side) - 1).cast("int").alias(f"last_{k}") for k, w in (("i", wide), ("j", high))])
+    unit = lambda k: F.pmod(F.xxhash64("pt", F.lit(k)), F.lit(1 << 52)) / (1 << 52)
+    rows = rows.join(ends, "tp").withColumn("u", (F.col("x") - F.col("lo_x")) / F.col("span") + SHIFT * unit(1)).withColumn("v", (F.col("y") - F.col("lo_y")) / F.col("span") + SHIFT * unit(2))
+    own = lambda c, k: F.greatest(F.least(F.floor(F.col(c) / F.col("side")), F.col(f"last_{k}")), F.lit(0)).cast("int").alias(k)
+    return rows.select("tp", "pt", "x", "y", "u", "v", "span", "side", "last_i", "last_j", own("u", "i"), own("v", "j"))
+
+
 def delaunay(points: DataFrame, max_distance: float) -> DataFrame:
     """Triangles (tp, a, b, c and their coordinates) of each frame whose three sides are at most ``max_distance`` long.
 
-    A frame is one group: its mesh is one whole. Of coincident points the least ``pt`` stands for all; rows with a null coordinate have no part.
+    A frame is cut to tiles of about ``TILE`` points, but not narrower than ``max_distance``, and each tile is triangulated with the points
+    around it up to that distance. A triangle belongs to the tile of its least point. It is sure if the part of its circle
+    inside the frame lies in the tile and its surroundings; the circles of the others are held against all tiles that they meet. Of
+    coincident points the least ``pt`` stands for all; rows with a null coordinate have no part.
     """
-
-    def frame(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pt").drop_duplicates(["x", "y"])
-        xy, pt = rows[["x", "y"]].to_numpy(float), rows["pt"].to_numpy()
-        t = triangulate(xy)
-        out = {"tp": np.full(len(t), rows["tp"].iloc[0])} | {c: pt[t[:, k]] for k, c in enumerate("abc")}
-        return pd.DataFrame(out | {f"{d}{c}": xy[t[:, k], j] for k, c in enumerate("abc") for j, d in enumerate("xy")})
-
-    whole = points.filter("x is not null and y is not null").select("tp", "pt", "x", "y")
-    short = lambda u, v: F.pow(F.col(f"x{u}") - F.col(f"x{v}"), 2) + F.pow(F.col(f"y{u}") - F.col(f"y{v}"), 2) <= max_distance**2
-    # A stated number of partitions is not coalesced: rows are few here, but each frame is much work.
-    spread = whole.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tp")
-    return spread.groupBy("tp").applyInPandas(frame, TRIANGLES).filter(short("a", "b") & short("b", "c") & short("a", "c"))
+    rows = _tiles(points, max_distance)
+    reach = max_distance / F.col("span") + MARGIN
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    spread = rows.withColumn("o", around).withColumn("ti", F.col("i") + F.col("o.a")).withColumn("tj", F.col("j") + F.col("o.b"))
+    near = lambda c, k: (F.col(c) >= F.col(k) * F.col("side") - reach) & (F.col(c) <= (F.col(k) + 1) * F.col("side") + reach)
+    inside = lambda k: (F.col(f"t{k}") >= 0) & (F.col(f"t{k}") <= F.col(f"last_{k}"))
+    spread = spread.filter(inside("i") & inside("j") & near("u", "ti") & near("v", "tj"))
+
+    def tile(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("pt")
+        xy, uv, pt = own[["x", "y"]].to_numpy(float), own[["u", "v"]].to_numpy(float), own["pt"].to_numpy()
+        t = triangulate(xy, uv)
+        span, side, ti, tj = (own[c].iloc[0] for c in ("span", "side", "ti", "tj"))
+        sides = np.stack([((xy[t[:, a]] - xy[t[:, b]]) ** 2).sum(1) for a, b in ((0, 1), (1, 2), (0, 2))])
+        core = (own["i"].to_numpy() == ti) & (own["j"].to_numpy() == tj)
+        t = t[(sides <= max_distance**2).all(0) & core[t[:, 0]]]
+        circle = _circle(uv, t) if len(t) else np.zeros((0, 3))
+        r = np.sqrt(circle[:, 2]) * (1 + MARGIN) + MARGIN
+        sure, halo = np.ones(len(t), bool), max_distance / span
+        for k, at, last in ((0, ti, own["last_i"].iloc[0]), (1, tj, own["last_j"].iloc[0])):
+            sure &= (circle[:, k] - r >= at * side - halo) if at > 0 else True
+            sure &= (circle[:, k] + r <= (at + 1) * side + halo) if at < last else True
+        out = {"tp": np.full(len(t), own["tp"].iloc[0])} | {c: pt[t[:, k]] for k, c in enumerate("abc")}
+        out |= {f"{d}{c}": xy[t[:, k], j] for k, c in enumerate("abc") for j, d in enumerate("xy")}
+        return pd.DataFrame(out | {"sure": sure, "cx": circle[:, 0], "cy": circle[:, 1], "r2": circle[:, 2]})
+
+    # A stated number of partitions is not coalesced: rows are few here, but each tile is much work.
+    spread = spread.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tp", "ti", "tj")
+    found = written(spread.groupBy("tp", "ti", "tj").applyInPandas(tile, _CANDIDATE))
+    names = [part.split()[0] for part in TRIANGLES.split(", ")]
+    sure, rest = found.filter("sure").select(names), found.filter("not sure")
+    if rest.isEmpty():
+        return sure
+    sizes = rows.groupBy("tp").agg(*[F.first(c).alias(c) for c in ("side", "last_i", "last_j")])
+    r = F.sqrt("r2")
+    span = lambda c, k: F.sequence(*[F.greatest(F.least(F.floor((F.col(c) + sign * r) / F.col("side")), F.col(f"last_{k}")), F.lit(0)).cast("int") for sign in (-1, 1)])
+    met = rest.join(sizes, "tp").select("tp", "a", "b", "c", "cx", "cy", "r2", F.explode(span("cx", "i")).alias("i"), span("cy", "j").alias("js")).select("*", F.explode("js").alias("j"))
+    held = met.join(rows.select("tp", "i", "j", "pt", "u", "v"), ["tp", "i", "j"])
+    full = (F.pow(F.col("u") - F.col("cx"), 2) + F.pow(F.col("v") - F.col("cy"), 2) < F.col("r2")) & ~F.col("pt").isin(F.col("a"), F.col("b"), F.col("c"))
+    return sure.unionByName(rest.join(held.filter(full).select("tp", "a", "b", "c").distinct(), ["tp", "a", "b", "c"], "left_anti").select(names))
 
 
 def _sides(triangles: DataFrame) -> DataFrame:

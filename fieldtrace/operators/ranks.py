@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stretches are bounded by 2**BITS - 1 percentiles.
-BITS = 8
+#: Stretches are bounded by 2**BITS - 1 percentiles, or by up to 2**MOST_BITS - 1 where they would else hold more than ROWS rows.
+BITS, MOST_BITS, ROWS = 8, 12, 4_000_000
 
 
 def bounds(rows: DataFrame, by: str) -> list:
     """Percentiles of a number, ascending, of about equal numbers of rows; none of no rows."""
-    marks = [i / 2**BITS for i in range(1, 2**BITS)]
-    return rows.agg(F.percentile_approx(by, marks, 10000)).first()[0] or []
+    marks = [i / 2**MOST_BITS for i in range(1, 2**MOST_BITS)]
+    found, n = rows.agg(F.percentile_approx(by, marks, 10000), F.count(by)).first()
+    every = 2 ** (MOST_BITS - min(MOST_BITS, max(BITS, (n // ROWS).bit_length())))
+    return (found or [])[every - 1 :: every]
 
 
 def stretch(by: str, edges: list) -> Column:
@@ -23,7 +25,7 @@ def stretch(by: str, edges: list) -> Column:
     if not edges:
         return F.lit(0)
     table = F.array(*[F.lit(e) for e in edges])
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(BITS))])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
     below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) < F.col(by), step).otherwise(0))
     return 2 * below + F.when(F.get(table, below) == F.col(by), 1).otherwise(0)
 

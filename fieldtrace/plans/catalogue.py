@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry
-from fieldtrace.operators import annotations, groups, linking, persistence, pixels, series, spatial, tracks
+from fieldtrace.operators import annotations, groups, linking, lookups, persistence, pixels, series, spatial, tracks
 from fieldtrace.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -298,7 +298,17 @@ def pairwise_welch(spark, sf_dir):
     return groups.pairwise_t(_orders(spark, sf_dir), "cond", "score").select("level1", "level2", "t", F.round("df", 3).alias("df"))
 
 
-@query("pairwise_significance", None, 6)
+def student_sql(t: str, df: str) -> str:
+    """SQL: two-sided p-value of Student's t, the density summed by Simpson's rule on 4000 steps."""
+    density = f"pow(1 + pow(k * abs({t}) / 4000, 2) / ({df}), -(({df}) + 1) / 2)"
+    area = f"list_sum(list_transform(range(0, 4001), lambda k: CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {density})) * abs({t}) / 12000"
+    return f"greatest(0, 1 - 2 * exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi()) * {area})"
+
+
+@query("pairwise_significance", f"""WITH {LEVELS}, te AS (SELECT a.cond AS level1, b.cond AS level2, (a.n + b.n - 2)::DOUBLE AS df, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) AS t,
+    abs(a.m - b.m) / sqrt(((a.n - 1) * a.s * a.s + (b.n - 1) * b.s * b.s) / (a.n + b.n)) AS effect FROM lv a JOIN lv b ON a.cond < b.cond), tp AS (SELECT *, {student_sql('t', 'df')} AS p FROM te),
+  k AS (SELECT *, row_number() OVER (ORDER BY p, level1, level2) AS k, count(*) OVER () AS m FROM tp)
+  SELECT level1, level2, {r('t', 'df', 'effect', 'p', 'least(1, max((m - k + 1) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) AS adjusted', decimals=6)} FROM k""", 6)
 def pairwise_significance(spark, sf_dir):
     return groups.significance(_orders(spark, sf_dir), "cond", "score", keep_all=True)
 
@@ -395,16 +405,23 @@ def track_complement(spark, sf_dir):
     return rows.select("user_id").distinct().join(listed, "user_id", "left_anti").withColumnRenamed("user_id", "track")
 
 
+def wide(vertices) -> list:
+    """A polygon widened by 1e-5 about its centroid."""
+    pairs = list(zip(vertices, vertices[1:] + vertices[:1], strict=True))
+    twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in pairs)
+    cx, cy = (sum((a[i] + b[i]) * (a[0] * b[1] - b[0] * a[1]) for a, b in pairs) / (3 * twice) for i in (0, 1))
+    return [(cx + (x - cx) * (1 + 1e-5), cy + (y - cy) * (1 + 1e-5)) for x, y in vertices]
+
+
 def _inside() -> str:
-    terms = [f"CASE WHEN ({a[1]} > y) <> ({b[1]} > y) AND x < ({b[0]} - {a[0]}) * (y - {a[1]}) / ({b[1]} - {a[1]}) + {a[0]} THEN 1 ELSE 0 END" for a, b in zip(HEX, HEX[1:] + HEX[:1], strict=True)]
+    corners = wide(HEX)
+    terms = [f"CASE WHEN ({a[1]} > y) <> ({b[1]} > y) AND x < ({b[0]} - {a[0]}) * (y - {a[1]}) / ({b[1]} - {a[1]}) + {a[0]} THEN 1 ELSE 0 END" for a, b in zip(corners, corners[1:] + corners[:1], strict=True)]
     return f"WITH c AS (SELECT vec_id AS pt, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings) SELECT pt, label FROM c WHERE ({' + '.join(terms)}) % 2 = 1"
 
 
 @query("points_in_roi", _inside())
 def points_in_roi(spark, sf_dir):
-    xs, ys = zip(*HEX, strict=True)
-    near = T.cloud(spark, sf_dir).filter(F.col("x").between(min(xs), max(xs)) & F.col("y").between(min(ys), max(ys)))
-    return near.filter(geometry.contains(geometry.polygon(*HEX), F.col("x"), F.col("y"))).select("pt", "label")
+    return lookups.points_in(T.cloud(spark, sf_dir), HEX).select("pt", "label")
 
 
 @query("box_polygons", f"WITH {BOXES} SELECT file, sel_class, {r('(x1 - x0) * (y1 - y0) AS area', '2 * (x1 - x0) + 2 * (y1 - y0) AS perimeter', '(x0 + x1) / 2 AS cx', '(y0 + y1) / 2 AS cy')} FROM bn")

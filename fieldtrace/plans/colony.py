@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldtrace.operators import colony, linking, mesh, persistence
-from fieldtrace.plans.catalogue import query, r
+from fieldtrace.plans.catalogue import query, r, student_sql
 from fieldtrace.plans.meshes import NEAR, RIM, _graph
 from fieldtrace.plans.persistence import CHAIN, CUTOFF
 from fieldtrace.sources import tables as T
@@ -58,14 +58,18 @@ def colony_parameters(spark, sf_dir):
 _EDGES = " ".join(f"WHEN radius >= {a!r} AND radius < {1.1 if i == 2 else b!r} THEN '{a:.2f}-{b:.2f}'" for i, (a, b) in enumerate(zip(colony.groups.bin_edges(3, True), colony.groups.bin_edges(3, True)[1:], strict=False)))
 
 
-@query("ring_tests", f"""{_FIELDS}, bi AS (SELECT *, CASE {_EDGES} END AS bin FROM pa), lg AS ({' UNION ALL '.join(f"SELECT bin, '{n}' AS name, {n}::DOUBLE AS v FROM bi WHERE bin IS NOT NULL" for n in colony.NAMES)}),
+_RINGS = f"""{_FIELDS}, bi AS (SELECT *, CASE {_EDGES} END AS bin FROM pa), lg AS ({' UNION ALL '.join(f"SELECT bin, '{n}' AS name, {n}::DOUBLE AS v FROM bi WHERE bin IS NOT NULL" for n in colony.NAMES)}),
   ow AS (SELECT name, bin, count(v) AS n, avg(v) AS m, var_samp(v) AS s FROM lg GROUP BY name, bin HAVING count(v) > 1),
   pr2 AS (SELECT a.name, a.bin AS bin1, b.bin AS bin2, a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.n + b.n - 2 AS df, ((a.n - 1) * a.s + (b.n - 1) * b.s) / (a.n + b.n - 2) AS v FROM ow a JOIN ow b ON a.name = b.name AND a.bin < b.bin)
-  SELECT name, bin1, bin2, n1, n2, round((m1 - m2) / sqrt(v * (1 / n1 + 1 / n2)), 3) AS statistic, df::DOUBLE AS df FROM pr2 WHERE v > 0""", 3)
+, rt AS (SELECT name, bin1, bin2, n1, n2, (m1 - m2) / sqrt(v * (1 / n1 + 1 / n2)) AS statistic, df::DOUBLE AS df FROM pr2 WHERE v > 0)"""
+
+
+@query("ring_tests", f"{_RINGS} SELECT name, bin1, bin2, n1, n2, round(statistic, 3) AS statistic, df FROM rt", 3)
 def ring_tests(spark, sf_dir):
     return colony.ring_tests(_parameters(spark, sf_dir))
 
 
-@query("radial_significance")
+@query("radial_significance", f"""{_RINGS}, rp AS (SELECT *, {student_sql('statistic', 'df')} AS p FROM rt), rk AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p, bin1, bin2) AS k, count(*) OVER (PARTITION BY name) AS m FROM rp)
+  SELECT name, bin1, bin2, n1, n2, {r('statistic', 'df', 'p', 'least(1, max((m - k + 1) * p) OVER (PARTITION BY name ORDER BY k ROWS UNBOUNDED PRECEDING)) AS adjusted', decimals=5)} FROM rk""", 5)
 def radial_significance(spark, sf_dir):
     return colony.radial_significance(_parameters(spark, sf_dir))

@@ -26,7 +26,13 @@ def rank_tests(spark, sf_dir):
     return inference.rank_tests(_priced(spark, sf_dir), "o_orderpriority", "l_extendedprice")
 
 
-@query("rank_significance", None, 6)
+#: Two-sided p-value of a normal, its density summed by Simpson's rule.
+NORMAL = "greatest(0, 1 - 2 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 4001), lambda k: CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(k * z / 4000, 2) / 2))) * z / 12000)"
+GAP = "CASE WHEN gap * gap * n1 * n2 / (n1 + n2) < 0.04 THEN 1.0 ELSE greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * gap * gap * n1 * n2 / (n1 + n2) * k * k))))) END"
+
+
+@query("rank_significance", f"""WITH {RANKS}, zz AS (SELECT level1, level2, n1, n2, u, (abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z, gap FROM ru JOIN rg USING (level1, level2))
+  SELECT level1, level2, n1, n2, {r('u', 'z', 'gap', f'{NORMAL} AS p_rank', f'{GAP} AS p_gap', decimals=6)} FROM zz""", 6)
 def rank_significance(spark, sf_dir):
     tests = inference.rank_tests(_priced(spark, sf_dir), "o_orderpriority", "l_extendedprice")
     return tests.withColumn("p_rank", inference.normal_p("z")).withColumn("p_gap", inference.kolmogorov_p(F.col("gap"), F.col("n1"), F.col("n2")))
@@ -55,17 +61,16 @@ def bootstrap_bounds(spark, sf_dir):
     return inference.bootstrap_bounds(T.read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber"], "l_quantity", "5", 20)
 
 
-@query("bootstrap_interval")
-def bootstrap_interval(spark, sf_dir):
-    return inference.bootstrap_interval(T.read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "5", 1000)
-
-
 @query("variance_table")
 def variance_table(spark, sf_dir):
     return inference.variance_table(_priced(spark, sf_dir), ["o_orderpriority", "l_returnflag"], "l_extendedprice", interactions=True)
 
 
-@query("batch_effect")
+@query("batch_effect", f"""WITH RECURSIVE pr AS (SELECT l_returnflag AS f, year(l_shipdate) AS b, l_extendedprice::DOUBLE AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  ce AS (SELECT f, b, dense_rank() OVER (ORDER BY f) AS i, dense_rank() OVER (ORDER BY b) AS j, count(*) AS n, avg(v) AS m FROM pr GROUP BY f, b),
+  it AS (SELECT 0 AS k, (SELECT list(0.0::DOUBLE) FROM (SELECT DISTINCT j FROM ce)) AS o UNION ALL
+    SELECT k + 1, list(v ORDER BY j) FROM (SELECT any_value(k) AS k, c.j, sum(c.n * (c.m - a.a)) / sum(c.n) AS v FROM ce c JOIN (SELECT any_value(k) AS k, i, sum(n * (m - o[j])) / sum(n) AS a FROM it, ce WHERE k < 3000 GROUP BY i) a ON a.i = c.i GROUP BY c.j) GROUP BY k)
+  SELECT f AS l_returnflag, b AS batch, {r('m AS mean', 'm - (o[j] - list_avg(o)) AS adjusted')} FROM ce, (SELECT o FROM it ORDER BY k DESC LIMIT 1)""")
 def batch_effect(spark, sf_dir):
     rows = inference.without_batch_effect(_priced(spark, sf_dir), "l_returnflag", ["batch"], "l_extendedprice")
     return rows.groupBy("l_returnflag", "batch").agg(F.avg("l_extendedprice").alias("mean"), F.avg("adjusted").alias("adjusted"))

@@ -8,19 +8,12 @@ from fieldtrace.functions import geometry
 from fieldtrace.operators import lookups, mesh, pixels, reports, spatial
 from fieldtrace.sources import tables as T
 
-from .catalogue import BOXES, FRAMES, PIXELS, POINTS, query, r
+from .catalogue import BOXES, FRAMES, PIXELS, POINTS, query, r, wide
 
 #: Polygon of track points, and what widening it by 1e-5 about its centroid gives.
 FIELD = ((20.0, 10.0), (120.0, 5.0), (150.0, 60.0), (70.0, 45.0), (30.0, 80.0))
 
 
-def _wide(vertices):
-    pairs = list(zip(vertices, vertices[1:] + vertices[:1], strict=True))
-    twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in pairs)
-    cx, cy = (sum((a[i] + b[i]) * (a[0] * b[1] - b[0] * a[1]) for a, b in pairs) / (3 * twice) for i in (0, 1))
-    return [(cx + (x - cx) * (1 + 1e-5), cy + (y - cy) * (1 + 1e-5)) for x, y in vertices]
-
-
 def _within(vertices, x="x", y="y") -> str:
     terms = [f"CASE WHEN ({a[1]} > {y}) <> ({b[1]} > {y}) AND {x} < ({b[0]} - {a[0]}) * ({y} - {a[1]}) / ({b[1]} - {a[1]}) + {a[0]} THEN 1 ELSE 0 END" for a, b in zip(vertices, vertices[1:] + vertices[:1], strict=True)]
     return f"({' + '.join(terms)}) % 2 = 1"
@@ -50,12 +43,12 @@ def real_coordinates(spark, sf_dir):
     return lookups.coordinates(points, "real").select("track", "tp", "x", "y")
 
 
-@query("tracks_in_roi", f"WITH {POINTS} SELECT DISTINCT track FROM tp WHERE tp BETWEEN 10 AND 30 AND {_within(_wide(FIELD))}")
+@query("tracks_in_roi", f"WITH {POINTS} SELECT DISTINCT track FROM tp WHERE tp BETWEEN 10 AND 30 AND {_within(wide(FIELD))}")
 def tracks_in_roi(spark, sf_dir):
     return lookups.tracks_in(T.track_points(spark, sf_dir), FIELD, 10, 30)
 
 
-@query("timelines_in_roi", f"WITH {POINTS} SELECT track, tp FROM tp WHERE {_within(_wide(FIELD))}")
+@query("timelines_in_roi", f"WITH {POINTS} SELECT track, tp FROM tp WHERE {_within(wide(FIELD))}")
 def timelines_in_roi(spark, sf_dir):
     return lookups.points_in(T.track_points(spark, sf_dir), FIELD).select("track", "tp")
 

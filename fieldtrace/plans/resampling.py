@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.operators import reports, resampling
+from fieldtrace.operators import inference, reports, resampling
 from fieldtrace.operators.groups import PERCENTILES
 from fieldtrace.plans.catalogue import query, r
 from fieldtrace.sources import tables as T
 
-#: Copies of a value that the SQL has a table for.
-MOST = 8
-
-
 def _mixed(x: str, shift: int, factor: int | None) -> str:
     out = f"xor({x}, {x} >> {shift})"
     return out if factor is None else f"((({out})::UHUGEINT * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
@@ -21,11 +17,11 @@ def _mixed(x: str, shift: int, factor: int | None) -> str:
 def draws(source: str, keys: list[str], seed: str, boots: int = 1000) -> str:
     """CTEs up to ``dw``: (keys, v, n, b, w), weights of each distinct value of ``source`` (keys, v) and resample, 0 being the sample itself."""
     own = ", ".join(keys)
-    table = " ".join(f"WHEN {n} THEN [{', '.join(map(repr, resampling.distribution(n).tolist()))}]::DOUBLE[]" for n in range(1, MOST + 1))
     return f"""dv AS (SELECT {own}, v, count(*) AS n, ('0x' || substr(md5('{seed}/' || {" || '/' || ".join(keys)} || '/' || v), 1, 15))::UHUGEINT AS k FROM ({source}) WHERE v IS NOT NULL GROUP BY {own}, v),
+  dt AS (SELECT n, list(c ORDER BY k) AS t FROM (SELECT n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS c FROM (SELECT n, unnest(range(0, (n + 12 * sqrt(n) + 20)::BIGINT)) AS k FROM (SELECT DISTINCT n FROM dv))) GROUP BY n),
   d0 AS (SELECT {own}, v, n, b, ((k + b::UHUGEINT * {resampling.STEP}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS h FROM dv, (SELECT unnest(range(0, {boots + 1})) AS b)),
   d1 AS (SELECT * REPLACE ({_mixed('h', 30, resampling.FACTORS[0])} AS h) FROM d0), d2 AS (SELECT * REPLACE ({_mixed('h', 27, resampling.FACTORS[1])} AS h) FROM d1),
-  dw AS (SELECT {own}, v, n, b, CASE WHEN b = 0 THEN n ELSE len(list_filter(CASE n {table} END, lambda c: c <= ({_mixed('h', 31, None)} >> 11)::DOUBLE / 9007199254740992)) END AS w FROM d2)"""
+  dw AS (SELECT {own}, v, n, b, CASE WHEN b = 0 THEN n ELSE len(list_filter(t, lambda c: c <= ({_mixed('h', 31, None)} >> 11)::DOUBLE / 9007199254740992)) END AS w FROM d2 JOIN dt USING (n))"""
 
 
 def intervals(keys: list[str]) -> str:
@@ -45,6 +41,12 @@ def _balances(spark, sf_dir):
 BALANCES = "SELECT c_mktsegment AS cond, c_nationkey AS nation, c_acctbal::DOUBLE AS v FROM customer"
 
 
+@query("bootstrap_interval", f"""WITH {draws('SELECT l_returnflag, l_linestatus, l_quantity::DOUBLE AS v FROM lineitem', ['l_returnflag', 'l_linestatus'], '5')}, {intervals(['l_returnflag', 'l_linestatus'])}
+  SELECT l_returnflag, l_linestatus, {r('mean', 'mean_lo AS lo', 'mean_hi AS hi')}, size AS n FROM iv""")
+def bootstrap_interval(spark, sf_dir):
+    return inference.bootstrap_interval(T.read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "5", 1000)
+
+
 @query("bootstrap_medians", f"WITH {draws(BALANCES, ['cond'], '5')}, {intervals(['cond'])} SELECT cond, {r('median AS centre', 'median_lo AS lo', 'median_hi AS hi')}, size AS n FROM iv")
 def bootstrap_medians(spark, sf_dir):
     return resampling.bootstrap(_balances(spark, sf_dir), ["cond"], "v", resampling.MEDIAN, "5")

@@ -49,12 +49,16 @@ def write_tracks(points: DataFrame, path: str) -> None:
 
 
 def read_simulation(spark: SparkSession, path: str) -> DataFrame:
-    """(file, t, track, x, y) of tab-separated simulation files with a header line; a line without seven fields is an error."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").filter(F.trim("value") != "")
+    """(file, t, track, x, y) of tab-separated simulation files; the first line of each is its header. A line without seven fields, or without a number first, is an error."""
+    line = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line"), "value")
+    heads = rows.groupBy("file").agg(F.min("line").alias("head"))
+    rows = rows.join(heads, "file").filter(F.trim("value") != "")
     parts = F.split("value", "\t")
     rows = rows.withColumn("p", F.when(F.size(parts) == 7, parts).otherwise(F.raise_error(F.concat(F.lit("not seven fields: "), F.col("value"))).cast("array<string>")))
-    number = F.expr("try_cast(p[0] as double)")  # a header line has no number there
-    return rows.withColumn("t", number).filter("t is not null").select("file", "t", F.col("p")[1].cast("long").alias("track"), F.col("p")[2].cast("double").alias("x"), F.col("p")[3].cast("double").alias("y"))
+    rows = rows.filter((F.col("line") != F.col("head")) | F.col("p").isNull())  # a header's fields are counted too
+    number = F.coalesce(F.expr("try_cast(p[0] as double)"), F.raise_error(F.concat(F.lit("no number first: "), F.col("value"))).cast("double"))
+    return rows.withColumn("t", number).select("file", "t", F.col("p")[1].cast("long").alias("track"), F.col("p")[2].cast("double").alias("x"), F.col("p")[3].cast("double").alias("y"))
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:

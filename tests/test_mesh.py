@@ -72,3 +72,20 @@ def test_hull_of_small_sets(spark):
         gaps = [b - a for a, b in zip(angles, [*angles[1:], angles[0] + 2 * np.pi], strict=True)] if angles else [7]
         return max(gaps) > np.pi + 1e-9
     assert got == {t: {p for p in s if vertex(p, set(s))} for t, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("tile", [40, 2000])
+def test_tiles_give_the_whole_frame(spark, monkeypatch, tile):
+    """Tiles with sure and unsure triangles against one triangulation of the frame; long, thin and clustered frames."""
+    monkeypatch.setattr(mesh, "TILE", tile)
+    rng = np.random.default_rng(6)
+    frames = {0: rng.random((700, 2)) * (100, 40), 1: rng.random((200, 2)) * (300, 1), 2: np.vstack([rng.normal(0, 1, (150, 2)), rng.normal(30, 1, (150, 2)), [[15.0, -200.0]]]), 3: rng.random((2, 2))}
+    rows = [(t, 2**40 + i, float(x), float(y)) for t, f in frames.items() for i, (x, y) in enumerate(f)]
+    got = {}
+    for r in mesh.delaunay(spark.createDataFrame(rows, "tp int, pt long, x double, y double"), 12.0).collect():
+        got.setdefault(r.tp, set()).add((r.a - 2**40, r.b - 2**40, r.c - 2**40))
+    for t, f in frames.items():
+        found = mesh.triangulate(f)
+        sides = np.stack([np.hypot(*(f[found[:, a]] - f[found[:, b]]).T) for a, b in ((0, 1), (1, 2), (0, 2))])
+        want = set(map(tuple, found[(sides <= 12).all(0)].tolist()))
+        assert len(want ^ got.get(t, set())) <= 2 + 0.002 * len(want), (t, len(want), len(got.get(t, set())))
