@@ -45,6 +45,8 @@ MARGIN = 1.0
 REMEMBERED, STEP_ROWS = 300_000, 100_000
 #: Tasks whose counts are summed together first, as a power of two.
 LEVEL = 10
+#: Tasks whose sums of a training step meet in one task, or in the driver.
+FAN_IN = 64
 
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 #: Sums of shares travel as whole numbers of this size, so that their order doesn't matter.
@@ -228,6 +230,17 @@ def _trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     n, n_p, n_u = (max(1, x or 0) for x in rows.agg(F.count("*"), F.sum("p"), F.sum("u")).first())
     rows = rows.coalesce(-(-n // STEP_ROWS))
 
+    tasks = -(-n // STEP_ROWS)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                own = np.frombuffer(blob, np.int64)
+                total = own.copy() if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
     def parts(weights: np.ndarray, bias: float) -> np.ndarray:
         width = 2 * len(weights) + 4
 
@@ -237,13 +250,13 @@ def _trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
                 flat, size = _joined(batch.column(0).to_pylist())
                 p, u = (batch.column(i).to_numpy(zero_copy_only=False) / n for i, n in ((1, n_p), (2, n_u)))
                 total += risk_parts(flat, size, p, u, weights, bias)
-            whole = np.rint(total * _UNIT).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(whole), pa.int32()), pa.array(whole[whole != 0])], ["k", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.rint(total * _UNIT).astype(np.int64).tobytes()], pa.binary())], ["sums"])
 
-        out = np.zeros(width)
-        for k, value in rows.mapInArrow(run, "k int, value long").groupBy("k").agg(F.sum("value")).collect():
-            out[k] = value / _UNIT
-        return out
+        found, left = rows.mapInArrow(run, "sums binary"), tasks
+        while left > FAN_IN:
+            left = -(-left // FAN_IN)
+            found = found.repartition(left).mapInArrow(summed, "sums binary")
+        return sum((np.frombuffer(r.sums, np.int64) for r in found.collect()), np.zeros(width, np.int64)) / _UNIT
 
     weights, bias = descend(parts, start, prior)
     return Model(slots, weights, bias - MARGIN), every
