@@ -42,7 +42,7 @@ STEPS, RATE, DECAY, PRIORS = 100, 0.1, 1e-5, (0.01, 0.5)
 #: chosen on folds 1 to 4 of the labels, each in turn left out of training.
 MARGIN = 1.0
 #: Words that a task remembers at a time; rows of a task in a training step.
-REMEMBERED, STEP_ROWS = 300_000, 100_000
+REMEMBERED, STEP_ROWS = 100_000, 100_000
 #: Tasks whose counts are summed together first, as a power of two.
 LEVEL = 10
 #: Tasks whose sums of a training step meet in one task, or in the driver.
