@@ -188,3 +188,16 @@ def above_thresholds(points: DataFrame, thresholds: DataFrame, detector: str, sc
     """Points that reach their detector's ``threshold``, with its ``weight``; names agree in lower case; points of other detectors go."""
     table = thresholds.select(F.lower(detector).alias("_detector"), "threshold", "weight")
     return points.join(table, F.lower(detector) == F.col("_detector")).filter(F.col(score) >= F.col("threshold")).drop("_detector")
+
+
+#: Types that have no plain form.
+OPAQUE = ("binary", "void", "interval", "variant")
+
+
+def as_json(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, json): the columns of each row as one JSON object, keys of maps as text, missing values left out; a column that holds a type without a plain form is an error."""
+    for c in columns:
+        kind = rows.schema[c].dataType.simpleString()
+        if any(name in kind for name in OPAQUE):
+            raise TypeError(f"{c} of type {kind} has no plain form")
+    return rows.select(key, F.to_json(F.struct(*columns)).alias("json"))

@@ -173,3 +173,17 @@ def noisy(pixels: DataFrame, seed: str, share: float) -> DataFrame:
 
     u = lambda name: uniform(seed, name, F.col("image"), F.col("row"), F.col("col"))
     return pixels.withColumn("value", F.when(u("where") < share, F.when(u("what") < 0.5, 0.0).otherwise(1.0)).otherwise(F.col("value")))
+
+
+def inner_peaks(pixels: DataFrame, images: DataFrame, distance: int, threshold: float) -> DataFrame:
+    """(image, x, y, score): ``peaks`` at least ``distance`` away from all edges of their image (image, rows, cols); x from the left and y from below in shares of the image's size."""
+    found = peaks(pixels, distance, threshold).join(images, "image")
+    inside = [F.col(c).between(distance, F.col(f"{c}s") - 1 - distance) for c in ("row", "col")]
+    return found.filter(inside[0] & inside[1]).select("image", (F.col("col") / F.col("cols")).alias("x"), (1 - F.col("row") / F.col("rows")).alias("y"), F.col("value").alias("score"))
+
+
+def rescaled(pixels: DataFrame, n: int) -> DataFrame:
+    """Block means of ``n`` by ``n`` pixels, stretched to 0..1 in each image; a flat image is 0."""
+    own = Window.partitionBy("image")
+    lo, hi = F.min("value").over(own), F.max("value").over(own)
+    return block_mean(pixels, n).withColumn("value", F.when(hi > lo, (F.col("value") - lo) / (hi - lo)).otherwise(0.0))

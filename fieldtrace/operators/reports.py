@@ -141,3 +141,9 @@ def welch_by_bin(rows: DataFrame, bin_: str, names: list[str]) -> DataFrame:
     e = [F.col(f"s{i}") / F.col(f"n{i}") for i in (1, 2)]
     df = F.pow(e[0] + e[1], 2) / (F.pow(e[0], 2) / (F.col("n1") - 1) + F.pow(e[1], 2) / (F.col("n2") - 1))
     return pairs.filter(e[0] + e[1] > 0).select("name", "bin1", "bin2", ((F.col("m1") - F.col("m2")) / F.sqrt(e[0] + e[1])).alias("statistic"), df.alias("df"))
+
+
+def permuted(rows: DataFrame, key: str, seed: str, k: int) -> DataFrame:
+    """The first ``k`` rows of a permutation of the distinct keys that ``seed`` fixes, with their ``place`` in it; only these are sorted."""
+    first = rows.withColumn("_u", uniform(seed, F.col(key))).orderBy("_u", key).limit(k)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("_u", key)) - 1).drop("_u")

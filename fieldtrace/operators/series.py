@@ -102,3 +102,11 @@ def key_times(points: DataFrame) -> DataFrame:
     """First, middle (rounded) and last but one whole times of the frames, in one row; with two frames or fewer the last itself."""
     ends = points.agg(F.min("tp").alias("first"), F.max("tp").alias("last"))
     return ends.select("first", F.round((F.col("first") + F.col("last")) / 2).cast("int").alias("middle"), F.when(F.col("last") - F.col("first") > 1, F.col("last") - 1).otherwise(F.col("last")).alias("late"))
+
+
+def filled_tracks(points: DataFrame, joins: DataFrame) -> DataFrame:
+    """(track, frame, x, y): tracks joined under their head (track, head), with linear places at the whole times between two points; of
+    two points of one time the one of the lesser track stays."""
+    rows = points.join(joins, "track", "left").select(F.coalesce("head", "track").alias("head"), "track", "tp", "x", "y")
+    one = rows.groupBy("head", "tp").agg(F.min_by(F.struct("x", "y"), "track").alias("p")).select(F.col("head").alias("track"), "tp", "p.x", "p.y")
+    return even(one, "tp", ["x", "y"])

@@ -108,3 +108,20 @@ def scaled(points: DataFrame, factor: float, decimals: int = 6) -> DataFrame:
     own = Window.partitionBy("track")
     mean = {c: F.round(F.avg(c).over(own), decimals) for c in "xy"}
     return points.select("track", "tp", *[(mean[c] + (F.col(c) - mean[c]) * factor).alias(c) for c in "xy"])
+
+
+def radial_motion(points: DataFrame) -> DataFrame:
+    """``motion`` with velocity and speed: displacement and path by the time since the first point; null there."""
+    run = order().rowsBetween(Window.unboundedPreceding, 0)
+    since = points.select("track", "tp", (F.col("t") - F.first("t").over(run)).alias("since"))
+    by = lambda c: F.when(F.col("since") > 0, F.col(c) / F.col("since"))
+    return motion(points).join(since, ["track", "tp"]).withColumns({"velocity": by("displacement"), "speed": by("distance")}).drop("since")
+
+
+def axis_velocity(points: DataFrame) -> DataFrame:
+    """(track, tp, vx, vy, v) from each point to the next; a track of one point has one row of zeros."""
+    n = F.count("*").over(Window.partitionBy("track"))
+    dt = F.lead("t").over(order()) - F.col("t")
+    rate = lambda c: F.when(n == 1, 0.0).when(dt > 0, (F.lead(c).over(order()) - F.col(c)) / dt)
+    rows = points.select("track", "tp", rate("x").alias("vx"), rate("y").alias("vy"), n.alias("n"), dt.alias("dt")).filter((F.col("n") == 1) | F.col("dt").isNotNull())
+    return rows.select("track", "tp", "vx", "vy", F.hypot("vx", "vy").alias("v"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.operators import links, polygons, rasters, softassign, splines, tolerance
+from fieldtrace.operators import links, pixels, polygons, rasters, softassign, splines, tolerance
 from fieldtrace.plans.catalogue import FRAMES, PIXELS, RADIUS, query, r
 from fieldtrace.plans.meshes import NEAR, _graph
 from fieldtrace.sources import tables as T
@@ -131,3 +131,17 @@ def soft_pairs(spark, sf_dir):
   ch AS (SELECT tp, pt, tp AS root_tp, pt AS root_pt, 0 AS depth FROM de WHERE (tp, pt) NOT IN (SELECT (tp, pt) FROM bk) UNION ALL SELECT bk.tp, bk.pt, ch.root_tp, ch.root_pt, ch.depth + 1 FROM ch JOIN bk ON bk.tp = ch.tp + 2 AND bk.pt1 = ch.pt) SELECT * FROM ch""")
 def linked_by(spark, sf_dir):
     return links.linked_by(T.detections(spark, sf_dir), "Mutual", RADIUS, 2)
+
+
+@query("inner_peaks", f"""WITH {PIXELS}, im AS (SELECT image, max("row") + 1 AS rows, max(col) + 1 AS cols FROM px GROUP BY image)
+  SELECT a.image, {r('a.col / cols AS x', '1 - a."row" / rows AS y', 'a.value AS score')} FROM px a JOIN im ON im.image = a.image WHERE a.value > 20 AND a."row" BETWEEN 2 AND rows - 3 AND a.col BETWEEN 2 AND cols - 3
+  AND NOT EXISTS (SELECT 1 FROM px b WHERE b.image = a.image AND abs(b."row" - a."row") <= 2 AND abs(b.col - a.col) <= 2 AND (b.value > a.value OR (b.value = a.value AND (b."row", b.col) < (a."row", a.col))))""")
+def inner_peaks(spark, sf_dir):
+    px, images, _ = _marked(spark, sf_dir)
+    return pixels.inner_peaks(px, images, 2, 20)
+
+
+@query("pixel_rescaled", f"""WITH {PIXELS}, bl AS (SELECT image, "row" // 3 AS "row", col // 3 AS col, sum(value) / 9 AS v FROM px GROUP BY ALL), m AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM bl WINDOW w AS (PARTITION BY image))
+  SELECT image, "row"::INTEGER AS "row", col::INTEGER AS col, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 6) AS value FROM m""", 6)
+def pixel_rescaled(spark, sf_dir):
+    return pixels.rescaled(T.pixels(spark, sf_dir), 3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.operators import groups, mesh, timelines
+from fieldtrace.operators import groups, lookups, mesh, reports, series, timelines, tracks
 from fieldtrace.plans.catalogue import FRAMES, POINTS, query, r
 from fieldtrace.plans.meshes import NEAR, RIM, _graph
 from fieldtrace.sources import tables as T
@@ -103,3 +103,35 @@ def places_along(spark, sf_dir):
   SELECT place::INTEGER AS place, round("at", 6) AS "at", round(d * 2.5 / area, 6) AS density, coalesce(sign(d - lag(d) OVER w) > sign(lead(d) OVER w - d), FALSE) AS peak FROM k, s WINDOW w AS (ORDER BY place)""", 6)
 def scaled_density(spark, sf_dir):
     return timelines.scaled_density(groups.density(T.read(spark, sf_dir, "events"), "value", 5.0), 2.5)
+
+
+@query("radial_motion", f"""WITH {POINTS}, st AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS s, sqrt(power(x - first(x) OVER w, 2) + power(y - first(y) OVER w, 2)) AS displacement, t - first(t) OVER w AS e FROM tp WINDOW w AS (PARTITION BY track ORDER BY tp)),
+  di AS (SELECT *, sum(s) OVER (PARTITION BY track ORDER BY tp) AS distance FROM st) SELECT track, tp, {r('displacement', 'distance', 'CASE WHEN distance > 0 THEN displacement / distance END AS ratio', 'CASE WHEN e > 0 THEN displacement / e END AS velocity', 'CASE WHEN e > 0 THEN distance / e END AS speed')} FROM di""")
+def radial_motion(spark, sf_dir):
+    return tracks.radial_motion(T.track_points(spark, sf_dir))
+
+
+@query("axis_velocity", f"""WITH {POINTS}, v AS (SELECT track, tp, count(*) OVER (PARTITION BY track) AS n, lead(t) OVER w - t AS dt, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM tp WINDOW w AS (PARTITION BY track ORDER BY tp))
+  SELECT track, tp, {r('CASE WHEN n = 1 THEN 0 WHEN dt > 0 THEN dx / dt END AS vx', 'CASE WHEN n = 1 THEN 0 WHEN dt > 0 THEN dy / dt END AS vy', 'CASE WHEN n = 1 THEN 0 WHEN dt > 0 THEN sqrt(dx * dx + dy * dy) / dt END AS v', decimals=6)} FROM v WHERE n = 1 OR dt IS NOT NULL""", 6)
+def axis_velocity(spark, sf_dir):
+    return tracks.axis_velocity(T.track_points(spark, sf_dir))
+
+
+@query("filled_tracks", f"""WITH {FRAMES}, tr AS (SELECT pt % 60 AS track, tp, x, y, row_number() OVER (PARTITION BY pt % 60, tp ORDER BY pt) AS k FROM de), jo AS (SELECT CASE WHEN track % 2 = 1 THEN track - 1 ELSE track END AS head, track, tp, x, y FROM tr WHERE k = 1 AND (tp + track) % 4 > 0),
+  un AS (SELECT head, tp, min_by(x, track) AS x, min_by(y, track) AS y FROM jo GROUP BY head, tp), nx AS (SELECT *, lead(tp) OVER w AS t1, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM un WINDOW w AS (PARTITION BY head ORDER BY tp)),
+  fi AS (SELECT *, unnest(range(tp, coalesce(t1, tp + 1))) AS frame FROM nx) SELECT head AS track, frame, {r('x + coalesce((x1 - x) * (frame - tp) / (t1 - tp), 0) AS x', 'y + coalesce((y1 - y) * (frame - tp) / (t1 - tp), 0) AS y', decimals=6)} FROM fi""", 6)
+def filled_tracks(spark, sf_dir):
+    rows = T.detections(spark, sf_dir).groupBy((F.col("pt") % 60).alias("track"), "tp").agg(F.min_by(F.struct("x", "y"), "pt").alias("p")).select("track", "tp", "p.x", "p.y").filter((F.col("tp") + F.col("track")) % 4 > 0)
+    joins = rows.filter("track % 2 = 1").select("track", (F.col("track") - 1).alias("head")).distinct()
+    return series.filled_tracks(rows, joins)
+
+
+@query("permuted_rows", "WITH u AS (SELECT c_custkey, ('0x' || substr(md5('9/' || c_custkey), 1, 8))::BIGINT / 4294967296 AS u FROM customer) SELECT c_custkey, row_number() OVER (ORDER BY u, c_custkey)::INTEGER - 1 AS place FROM u QUALIFY place < 100")
+def permuted_rows(spark, sf_dir):
+    return reports.permuted(T.read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "9", 100)
+
+
+@query("rows_as_json", "SELECT c_custkey, to_json({'c_name': c_name, 'c_nationkey': c_nationkey, 'tags': [c_mktsegment]}) AS json FROM customer")
+def rows_as_json(spark, sf_dir):
+    rows = T.read(spark, sf_dir, "customer").withColumn("tags", F.array("c_mktsegment"))
+    return lookups.as_json(rows, "c_custkey", ["c_name", "c_nationkey", "tags"])
