@@ -111,7 +111,7 @@ def adaptive_contrast(pixels: DataFrame, size: int, clip: float = 0.03, levels:
 
     near = rows.join(ends, "image").select("image", "row", "col", "level", F.explode(sides("row", "r_last")).alias("r"), sides("col", "c_last").alias("cs")).select("image", "row", "col", "level", "r", F.explode("cs").alias("c"))
     near = near.select("image", "row", "col", "level", F.col("r.t").alias("tr"), F.col("c.t").alias("tc"), (F.col("r.w") * F.col("c.w")).alias("w")).filter("w > 0")
-    return near.join(maps, ["image", "tr", "tc", "level"]).groupBy("image", "row", "col").agg(F.sum(F.col("w") * F.col("share")).alias("value"))
+    return near.join(maps.hint("merge"), ["image", "tr", "tc", "level"]).groupBy("image", "row", "col").agg(F.sum(F.col("w") * F.col("share")).alias("value"))
 
 
 def eroded(mask: DataFrame, times: int = 1) -> DataFrame:
