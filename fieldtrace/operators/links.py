@@ -17,11 +17,11 @@ PREFIX = "link_by_"
 
 
 def link_by_nearest(points: DataFrame, radius: float, step: int = 1) -> DataFrame:
-    return spatial.nearest_pairs(spatial.next_frames(points, radius, step, strict=True))
+    return spatial.nearest_links(points, spatial.earlier(points, step), radius)
 
 
 def link_by_mutual(points: DataFrame, radius: float, step: int = 1) -> DataFrame:
-    return spatial.mutual_pairs(spatial.next_frames(points, radius, step, strict=True))
+    return spatial.mutual_links(points, spatial.earlier(points, step), radius)
 
 
 def link_by_matched(points: DataFrame, radius: float, step: int = 1) -> DataFrame:
