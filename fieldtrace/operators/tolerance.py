@@ -27,14 +27,16 @@ def near_rows(rows: DataFrame, fields: tuple[str, ...], keys: list[str], order:
     """(earlier, later): pairs of rows, by ``order``, of equal keys whose fields all differ by less than ``tolerance``.
 
     Every field has two grids of twice the tolerance, shifted by it: two near values share a cell of one of them, so a pair
-    shares a cell of one combination of grids, also across any cell's edge.
+    shares a cell of one combination of grids, also across any cell's edge. Cells are met by a hash and the rows then compared; the
+    rows are spread to all combinations after their size is estimated, so the hint keeps them from being broadcast.
     """
     cell = lambda c, i: F.floor((F.col(c) + (tolerance if i else 0.0)) / (2 * tolerance))
-    combined = F.array(*[F.array(F.lit(n).cast("long"), *[cell(c, i) for c, i in zip(fields, grids, strict=True)]) for n, grids in enumerate(product((0, 1), repeat=len(fields)))])
+    combined = F.array(*[F.xxhash64(*keys, F.lit(n), *[cell(c, i) for c, i in zip(fields, grids, strict=True)]) for n, grids in enumerate(product((0, 1), repeat=len(fields)))])
     spread = rows.select(*keys, *fields, F.col(order).alias("_o"), F.explode(combined).alias("_cell"))
     other = spread.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_{c}") for c in fields], F.col("_o").alias("_p"), F.col("_cell").alias("_d"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.abs(F.col(c) - F.col(f"_{c}")) < tolerance for c in fields]
-    return spread.join(other, reduce(and_, same, F.col("_cell") == F.col("_d")) & (F.col("_o") < F.col("_p"))).select(F.col("_o").alias("earlier"), F.col("_p").alias("later")).distinct()
+    equal = lambda k: F.coalesce(F.col(k) == F.col(f"_{k}"), F.col(k).isNull() & F.col(f"_{k}").isNull())
+    same = [equal(k) for k in keys] + [F.abs(F.col(c) - F.col(f"_{c}")) < tolerance for c in fields]
+    return spread.join(other.hint("merge"), reduce(and_, same, F.col("_cell") == F.col("_d")) & (F.col("_o") < F.col("_p"))).select(F.col("_o").alias("earlier"), F.col("_p").alias("later")).distinct()
 
 
 def _lost(pairs: DataFrame) -> DataFrame:
