@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from fieldtrace.operators import rasters, spatial, tolerance
+from fieldtrace.operators import linking, rasters, spatial, tolerance
 
 
 def plan(df):
@@ -51,3 +51,20 @@ def test_spread_rows_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan(spatial.grid_join(points, points, 1.0))
     assert "Broadcast" not in plan(tolerance.near_rows(points, ("x", "y"), ["tp"], "pt", 0.5))
     assert plan(rasters.adaptive_contrast(px, 2)).count("SortMergeJoin") >= 1
+
+
+def test_groups_of_copies(spark):
+    points = copies() + [(5, 1, 0.0, 0.0), (5, 2, 50.0, 0.0), (5, 3, 50.0, 0.0), (5, 4, None, 0.0)]
+    df = spark.createDataFrame(points, "tp int, pt long, x double, y double")
+    near = {a[:2]: [b[:2] for b in points if b[0] == a[0] and None not in (a[2], b[2]) and math.dist(a[2:], b[2:]) <= 1] for a in points}
+    want = []
+    for a in near:
+        seen, todo = {a}, [a]
+        while todo:
+            for b in near[todo.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        if len(seen) > 1:
+            want.append((*a, min(seen)[1]))
+    assert sorted(tuple(r) for r in linking.radius_groups(df, 1.0).collect()) == sorted(want)
