@@ -5,34 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import unwrapped
-from .tracks import order, rolling_mean, velocity
-from .written import written
+from .series import with_unwrapped
+from .tracks import order, rolling_value
+
+
+def _with_fits(rows: DataFrame, window: int, time: str, fields: tuple[str, ...]) -> DataFrame:
+    """``rows`` with slope and intercept of each field (field_slope, field_intercept), over windows of the track alone: nothing is joined."""
+    span = order().rowsBetween(-(window // 2), window - 1 - window // 2)
+    fits = {f"{c}_{n}": F.when(F.count(c).over(span) == window, f(F.col(c), F.col(time)).over(span)) for c in fields for n, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept))}
+    before, whole = order().rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("track")
+    #: The first fit is looked up once a track: a frame from each row to the last would read all rows behind each.
+    held = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.min_by(c, F.when(F.col(c).isNotNull(), F.col("tp"))).over(whole))
+    return rows.withColumns(fits).withColumns({c: held(c) for c in fits})
 
 
 def rolling_fit(points: DataFrame, window: int, time: str, field: str) -> DataFrame:
     """(track, tp, slope, intercept) of least-squares lines over centred windows; places near an end have the first or last
     full window's. Tracks shorter than the window have none."""
-    span = order().rowsBetween(-(window // 2), window - 1 - window // 2)
-    full = F.count(field).over(span) == window
-    rows = points.select("track", "tp", *[F.when(full, f(F.col(field), F.col(time)).over(span)).alias(n) for n, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept))])
-    before, after = order().rowsBetween(Window.unboundedPreceding, 0), order().rowsBetween(0, Window.unboundedFollowing)
-    held = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)).alias(c)
-    return rows.select("track", "tp", held("slope"), held("intercept")).filter("slope is not null")
+    rows = _with_fits(points.select("track", "tp", F.col(time).alias("_t"), F.col(field).alias("_v")), window, "_t", ("_v",))
+    return rows.select("track", "tp", F.col("_v_slope").alias("slope"), F.col("_v_intercept").alias("intercept")).filter("slope is not null")
 
 
 def smoothed(points: DataFrame, window: int, factor: int, fields: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """``factor`` times as many even times from first to last point of each track, with the fit of the point at or before each: (track, place, t, fields)."""
     own = Window.partitionBy("track")
     rows = points.withColumn("n", F.count("*").over(own) * factor).withColumn("t0", F.min("t").over(own)).withColumn("step", (F.max("t").over(own) - F.col("t0")) / (F.col("n") - 1))
-    rows = rows.withColumn("later", F.lead("t").over(order()))
+    rows = _with_fits(rows.withColumn("later", F.lead("t").over(order())), window, "t", fields).dropna(subset=[f"{c}_slope" for c in fields])
     place = lambda t: F.ceil((t - F.col("t0")) / F.col("step"))
     last = F.when(F.col("later").isNull(), F.col("n") - 1).otherwise(F.least(place(F.col("later")) - 1, F.col("n") - 2))
     first = F.when(F.col("later").isNull(), F.least(place(F.col("t")), F.col("n") - 1)).otherwise(place(F.col("t")))
     rows = rows.filter("step > 0").withColumn("first", first).withColumn("last", last).filter("first <= last")
-    for c in fields:
-        fit = rolling_fit(points, window, "t", c).select("track", "tp", F.col("slope").alias(f"{c}_slope"), F.col("intercept").alias(f"{c}_intercept"))
-        rows = rows.join(fit, ["track", "tp"])
     rows = rows.withColumn("place", F.explode(F.sequence("first", "last"))).withColumn("at", F.col("t0") + F.col("place") * F.col("step"))
     return rows.select("track", "place", F.col("at").alias("t"), *[(F.col(f"{c}_intercept") + F.col(f"{c}_slope") * F.col("at")).alias(c) for c in fields])
 
@@ -67,7 +69,7 @@ def islands(points: DataFrame, runs: DataFrame) -> DataFrame:
     """Each run's duration, path, displacement and mean speed over the steps that begin in it, and the gap after the run before."""
     steps = points.select("track", "tp", "t", "x", "y", *[(F.lead(c).over(order()) - F.col(c)).alias(f"d{c}") for c in "txy"]).filter("dt is not null")
     steps = steps.withColumn("ds", F.hypot("dx", "dy")).withColumn("speed", F.when(F.col("dt") > 0, F.col("ds") / F.col("dt")))
-    inside = steps.join(runs.select("track", "start", "stop"), "track").filter(F.col("tp").between(F.col("start"), F.col("stop")))
+    inside = steps.join(runs.select("track", "start", "stop", F.explode(F.sequence("start", "stop")).alias("tp")), ["track", "tp"])
     end = lambda c: F.max_by(c, "tp") - F.min_by(c, "tp")
     rows = inside.groupBy("track", "start", "stop").agg(F.sum("dt").alias("duration"), F.sum("ds").alias("distance"), F.hypot(end("x"), end("y")).alias("displacement"), F.avg("speed").alias("speed"), F.min("t").alias("begins"), F.max("t").alias("ends"))
     before = F.lag("ends").over(Window.partitionBy("track").orderBy("start"))
@@ -96,18 +98,14 @@ def timeline(points: DataFrame, factor: int = 4, window: int = 7, smooth: int =
     unit of time, without runs and holes shorter than ``noise``. Gives (track, tp, t, x, y, speed, angle, slope, flat):
     the last time of a track has no step, so null from speed on. Tracks shorter than ``window`` have no row.
     """
-    even = smoothed(points, window, factor).withColumnRenamed("place", "tp")
+    rows = smoothed(points, window, factor).withColumnRenamed("place", "tp")
     if smooth > 0:
-        for c in "xy":
-            mean = rolling_mean(even, smooth * factor, c).withColumnRenamed(f"{c}_mean", f"_{c}")
-            even = even.join(mean, ["track", "tp"]).drop(c).withColumnRenamed(f"_{c}", c)
-    even = written(even.select("track", "tp", "t", "x", "y"))
-    steps = velocity(even)
-    angle = unwrapped(steps, "heading")
-    slopes = rolling_fit(angle.join(even.select("track", "tp", "t"), ["track", "tp"]), window, "t", "angle").drop("intercept")
-    flat = flat_mask(slopes, cutoff, noise).select("track", "tp", "slope", "flat")
-    out = even.join(steps.select("track", "tp", "speed"), ["track", "tp"], "left").join(angle, ["track", "tp"], "left").join(flat, ["track", "tp"], "left")
-    return written(out.select("track", "tp", "t", "x", "y", "speed", "angle", "slope", "flat"))
+        rows = rows.withColumns({c: rolling_value(c, smooth * factor) for c in "xy"})
+    rows = rows.withColumns({f"d{c}": F.lead(c).over(order()) - F.col(c) for c in "txy"})
+    rows = rows.withColumn("speed", F.when(F.col("dt") > 0, F.hypot("dx", "dy") / F.col("dt"))).withColumn("heading", F.when(F.col("dt").isNotNull(), F.atan2("dy", "dx")))
+    rows = with_unwrapped(rows, "heading")
+    rows = _with_fits(rows, window, "t", ("angle",)).withColumn("slope", F.when(F.col("dt").isNotNull(), F.col("angle_slope")))
+    return flat_mask(rows, cutoff, noise).select("track", "tp", "t", "x", "y", "speed", "angle", "slope", "flat")
 
 
 def stretches(chain: DataFrame) -> DataFrame:
@@ -118,8 +116,7 @@ def stretches(chain: DataFrame) -> DataFrame:
 
 def waveform(chain: DataFrame) -> DataFrame:
     """(track, tp, t, persistent, waveform): whether a time lies in a stretch, its last one left out, and its speed if so."""
-    runs = stretches(chain).select("track", F.explode(F.when(F.col("stop") > F.col("start"), F.sequence("start", F.col("stop") - 1))).alias("tp"), F.lit(True).alias("inside"))
-    rows = chain.join(runs, ["track", "tp"], "left").withColumn("persistent", F.coalesce("inside", F.lit(False)))
+    rows = chain.withColumn("persistent", F.coalesce(F.col("flat") & F.lead("flat").over(order()), F.lit(False)))
     return rows.select("track", "tp", "t", "persistent", F.when(F.col("persistent"), F.col("speed")).alias("waveform"))
 
 
@@ -132,6 +129,7 @@ def persistence_at(chain: DataFrame, time: float, span: float = 1.0) -> DataFram
 def sampled_waveform(chain: DataFrame, times: list[float]) -> DataFrame:
     """(track, time, waveform): mean speed of the persistent times from each of ``times`` up to the next; the last has none, as have times without persistence."""
     ends = F.array(*[F.struct(F.lit(float(a)).alias("time"), F.lit(float(b)).alias("next")) for a, b in zip(times, [*times[1:], times[-1]], strict=True)])
-    each = chain.select("track").distinct().select("track", F.explode(ends).alias("e")).select("track", "e.time")
-    own = waveform(chain).filter("persistent").select("track", "waveform", F.try_element_at(F.filter(ends, lambda e: (e["time"] <= F.col("t")) & (F.col("t") < e["next"])), F.lit(1))["time"].alias("time"))
-    return each.join(own.groupBy("track", "time").agg(F.avg("waveform").alias("waveform")), ["track", "time"], "left")
+    which = F.try_element_at(F.filter(ends, lambda e: (e["time"] <= F.col("t")) & (F.col("t") < e["next"])), F.lit(1))["time"]
+    found = waveform(chain).groupBy("track", F.when(F.col("persistent"), which).alias("time")).agg(F.avg(F.when(F.col("persistent"), F.col("waveform"))).alias("waveform"))
+    own = found.groupBy("track").agg(F.map_from_entries(F.collect_list(F.when(F.col("time").isNotNull(), F.struct("time", "waveform")))).alias("m"))
+    return own.select("track", "m", F.explode(ends).alias("e")).select("track", "e.time", F.try_element_at("m", F.col("e.time")).alias("waveform"))

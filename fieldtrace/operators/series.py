@@ -12,9 +12,14 @@ from .tracks import order
 
 def unwrapped(angles: DataFrame, field: str) -> DataFrame:
     """``field`` (radians) without jumps of more than half a turn between neighbours, in degrees."""
+    return with_unwrapped(angles, field).select("track", "tp", "angle")
+
+
+def with_unwrapped(angles: DataFrame, field: str) -> DataFrame:
+    """``angles`` with the unwrapped field as ``angle``."""
     turns = F.coalesce(F.round((F.col(field) - F.lag(field).over(order())) / (2 * math.pi)), F.lit(0.0))
     rows = angles.withColumn("turns", turns)
-    return rows.select("track", "tp", F.degrees(F.col(field) - 2 * math.pi * F.sum("turns").over(order().rowsBetween(Window.unboundedPreceding, 0))).alias("angle"))
+    return rows.withColumn("angle", F.degrees(F.col(field) - 2 * math.pi * F.sum("turns").over(order().rowsBetween(Window.unboundedPreceding, 0)))).drop("turns")
 
 
 def gaussian(points: DataFrame, field: str, sigma: float = 1.0) -> DataFrame:

@@ -80,15 +80,19 @@ def time_range(points: DataFrame, first: int | None, last: int | None) -> DataFr
     return points
 
 
-def rolling_mean(points: DataFrame, window: int, field: str) -> DataFrame:
-    """Centred rolling mean whose ends repeat the first and last value of the track."""
+def rolling_value(field: str, window: int) -> Column:
+    """Centred rolling mean of a track's ``field`` whose ends repeat the first and last value."""
     before, after = window // 2, window - 1 - window // 2
     span, whole = order().rowsBetween(-before, after), Window.partitionBy("track")
     place, n = F.row_number().over(order()), F.count("*").over(whole)
     short = F.greatest(F.lit(0), F.lit(before + 1) - place), F.greatest(F.lit(0), place + after - n)
     ends = F.min_by(field, "tp").over(whole), F.max_by(field, "tp").over(whole)
-    total = F.sum(field).over(span) + short[0] * ends[0] + short[1] * ends[1]
-    return points.select("track", "tp", (total / window).alias(f"{field}_mean"))
+    return (F.sum(field).over(span) + short[0] * ends[0] + short[1] * ends[1]) / window
+
+
+def rolling_mean(points: DataFrame, window: int, field: str) -> DataFrame:
+    """``rolling_value`` of each point: (track, tp, field_mean)."""
+    return points.select("track", "tp", rolling_value(field, window).alias(f"{field}_mean"))
 
 
 def frame_means(points: DataFrame, scale: float, field: str) -> DataFrame:

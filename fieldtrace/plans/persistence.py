@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fieldtrace.operators import persistence
+from fieldtrace.operators.written import written
 from fieldtrace.plans.catalogue import POINTS, query, r
 from fieldtrace.sources import tables as T
 
@@ -36,7 +37,7 @@ def _chain(spark, sf_dir):
   FROM fr JOIN he ON he.track = fr.track AND he.place BETWEEN start AND stop GROUP BY fr.track, start, stop)
   SELECT track, start, stop, {r('duration', 'distance', 'displacement', 'speed', 'b - lag(e) OVER (PARTITION BY track ORDER BY start) AS gap', decimals=3)} FROM il""", 3)
 def track_persistence(spark, sf_dir):
-    chain = _chain(spark, sf_dir)
+    chain = written(_chain(spark, sf_dir))
     return persistence.islands(chain, persistence.stretches(chain))
 
 
