@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -17,9 +19,13 @@ PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 def category_summary(rows: DataFrame, categories: list[str], score: str) -> DataFrame:
     """Percentiles, mean, population deviation and size; one value has only mean and median."""
-    many = F.count(score) > 1
-    out = [F.percentile(score, p).alias(f"p{round(p * 100):02d}") if p == 0.5 else F.when(many, F.percentile(score, p)).alias(f"p{round(p * 100):02d}") for p in PERCENTILES]
-    return rows.groupBy(*categories).agg(*out, F.avg(score).alias("mean"), F.when(many, F.stddev_pop(score)).alias("std"), F.count(score).alias("n"))
+    #: Values are counted before they meet, and one table of a category's values serves all percentiles.
+    counted = rows.filter(F.col(score).isNotNull()).groupBy(*categories, score).agg(F.count("*").alias("_n"))
+    ends = counted.groupBy(*categories).agg(F.percentile(score, list(PERCENTILES), F.col("_n")).alias("_p")).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(categories)], "_p")
+    whole = rows.groupBy(*categories).agg(F.avg(score).alias("mean"), F.when(F.count(score) > 1, F.stddev_pop(score)).alias("std"), F.count(score).alias("n"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(categories)])
+    each = [(F.col("_p")[i] if p == 0.5 else F.when(F.col("n") > 1, F.col("_p")[i])).alias(f"p{round(p * 100):02d}") for i, p in enumerate(PERCENTILES)]
+    return whole.join(ends, same, "left").select(*categories, *each, "mean", "std", "n")
 
 
 def bin_edges(bins: int, equal_area: bool, low: float = 0.0, high: float = 1.0) -> list[float]:
