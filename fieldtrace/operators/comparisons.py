@@ -35,11 +35,15 @@ def _of_moments(rows: DataFrame, test: str | Callable[..., Column]) -> DataFrame
     return found.withColumn("p", groups.student_p_column("t", "df")).drop("t", "df")
 
 
-def _of_ranks(rows: DataFrame, test: str) -> DataFrame:
-    """p-values of the rank tests; the levels of all groups share one pass over the values in order."""
-    found = inference.rank_tests(rows.select(F.concat("group", F.lit(INSIDE), "level").alias("name"), "v"), "name", "v")
+def _of_ranks(rows: DataFrame, test: str, control: list[str] | None) -> DataFrame:
+    """p-values of the rank tests; the levels of all groups share one pass over the values in order, which only makes the pairs of a group that are asked for."""
+
+    def wanted(one: str, two: str) -> bool:
+        (group, level1), (other, level2) = one.split(INSIDE), two.split(INSIDE)
+        return group == other and (control is None or level1 in control or level2 in control)
+
+    found = inference.rank_tests(rows.select(F.concat("group", F.lit(INSIDE), "level").alias("name"), "v"), "name", "v", wanted)
     part = lambda i, k: F.split(F.col(f"level{i}"), INSIDE)[k]
-    found = found.filter(part(1, 0) == part(2, 0))
     p = inference.normal_p("z") if test == "u-test" else inference.kolmogorov_p(F.col("gap"), F.col("n1"), F.col("n2"))
     return found.withColumn("p", p).select(part(1, 0).alias("group"), part(1, 1).alias("level1"), part(2, 1).alias("level2"), "p")
 
@@ -54,7 +58,7 @@ def compared(rows: DataFrame, category: list[str], score: str, test: str | Calla
     if not callable(test) and test not in TESTS:
         raise KeyError(f"no test {test}")
     named = rows.filter(F.col(score).isNotNull()).select(_name(group or []).alias("group"), _name(category).alias("level"), F.col(score).cast("double").alias("v"))
-    found = _of_ranks(named, test) if test in ("u-test", "ks-test") else _of_moments(named, test)
+    found = _of_ranks(named, test, control) if test in ("u-test", "ks-test") else _of_moments(named, test)
     if control is not None:
         found = found.filter(F.col("level1").isin(control) | F.col("level2").isin(control))
     out = inference.corrected(found, "p", ["group", "level1", "level2"], [correction]).withColumnRenamed(correction, "adjusted")

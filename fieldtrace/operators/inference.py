@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import ranks, resampling
 from .groups import _beta_fraction, level_pairs, moments, running_totals, student_p
+from .written import written
 
 
 #: Most levels of a category whose pairs are tested; most combinations of levels that a linear model is fitted on.
@@ -26,21 +28,22 @@ def level_names(rows: DataFrame, category: str) -> list:
     return sorted(names)
 
 
-def rank_tests(rows: DataFrame, category: str, score: str) -> DataFrame:
-    """level1, level2, n1, n2, u, z (continuity and ties corrected) and gap (greatest distance of the distributions) of each two levels.
+def rank_tests(rows: DataFrame, category: str, score: str, wanted: Callable[[str, str], bool] | None = None) -> DataFrame:
+    """level1, level2, n1, n2, u, z (continuity and ties corrected) and gap (greatest distance of the distributions) of each two levels, or of the pairs ``wanted``.
 
     Rows are first counted per score and level, then summed along the scores once for all levels; no pair's rows meet in one task.
     """
     names = level_names(rows, category)
     own = lambda i: F.sum(F.when(F.col(category) == F.lit(names[i]), 1).otherwise(0))
-    if len(names) < 2:
-        names = [None, None]
+    pairs = [(i, j) for i, j in combinations(range(len(names)), 2) if wanted is None or wanted(names[i], names[j])]
+    if not pairs:
+        names, pairs = [None, None], [(0, 1)]
     counts = rows.filter(F.col(score).isNotNull()).groupBy(score).agg(*[own(i).alias(f"n{i}") for i in range(len(names))])
-    counts = counts.select("*", *[F.col(f"n{i}").alias(f"c{i}") for i in range(len(names))])
+    counts = written(counts.select("*", *[F.col(f"n{i}").alias(f"c{i}") for i in range(len(names))]))
     ends = counts.agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(names))])
     table = running_totals(counts, score, [f"c{i}" for i in range(len(names))]).join(F.broadcast(ends), F.lit(True))
     pair = lambda i, j: F.struct(F.lit(names[i]).alias("level1"), F.lit(names[j]).alias("level2"), *[F.col(f"{c}{k}").alias(f"{c}{m}") for m, k in ((1, i), (2, j)) for c in "nct"])
-    each = table.select(F.explode(F.array(*[pair(i, j) for i, j in combinations(range(len(names)), 2)])).alias("p")).select("p.*").filter("t1 > 1 and t2 > 1")
+    each = table.select(F.explode(F.array(*[pair(i, j) for i, j in pairs])).alias("p")).select("p.*").filter("t1 > 1 and t2 > 1")
     n = F.col("n1") + F.col("n2")
     sums = each.groupBy("level1", "level2", F.col("t1").alias("m1"), F.col("t2").alias("m2")).agg(
         F.sum(F.col("n1") * (F.col("t2") - F.col("c2") + F.col("n2") / 2)).alias("u"),
