@@ -70,8 +70,12 @@ def islands(points: DataFrame, runs: DataFrame) -> DataFrame:
     steps = points.select("track", "tp", "t", "x", "y", *[(F.lead(c).over(order()) - F.col(c)).alias(f"d{c}") for c in "txy"]).filter("dt is not null")
     steps = steps.withColumn("ds", F.hypot("dx", "dy")).withColumn("speed", F.when(F.col("dt") > 0, F.col("ds") / F.col("dt")))
     inside = steps.join(runs.select("track", "start", "stop", F.explode(F.sequence("start", "stop")).alias("tp")), ["track", "tp"])
-    end = lambda c: F.max_by(c, "tp") - F.min_by(c, "tp")
-    rows = inside.groupBy("track", "start", "stop").agg(F.sum("dt").alias("duration"), F.sum("ds").alias("distance"), F.hypot(end("x"), end("y")).alias("displacement"), F.avg("speed").alias("speed"), F.min("t").alias("begins"), F.max("t").alias("ends"))
+    #: Sums run in order of the points, so that their last bits, and with them a rounded half, don't hang on how rows are dealt out.
+    so_far = Window.partitionBy("track", "start", "stop").orderBy("tp").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumns({"dt": F.sum("dt").over(so_far), "ds": F.sum("ds").over(so_far), "speed": F.avg("speed").over(so_far)})
+    last = lambda c: F.max_by(c, "tp")
+    end = lambda c: last(c) - F.min_by(c, "tp")
+    rows = inside.groupBy("track", "start", "stop").agg(last("dt").alias("duration"), last("ds").alias("distance"), F.hypot(end("x"), end("y")).alias("displacement"), last("speed").alias("speed"), F.min("t").alias("begins"), F.max("t").alias("ends"))
     before = F.lag("ends").over(Window.partitionBy("track").orderBy("start"))
     return rows.select("track", "start", "stop", "duration", "distance", "displacement", "speed", (F.col("begins") - before).alias("gap"))
 
