@@ -20,11 +20,19 @@ def block_mean(pixels: DataFrame, n: int) -> DataFrame:
 
 
 def peaks(pixels: DataFrame, distance: int, threshold: float) -> DataFrame:
-    """Pixels above ``threshold`` that are the first greatest within ``distance`` rows and columns, by value, row, column."""
+    """Pixels above ``threshold`` that are the first greatest within ``distance`` rows and columns, by value, row, column.
+
+    Pixels are spread over the rows they reach, and a row's are windows over its columns; one row of an image is held at a time.
+    """
     near = F.explode(F.sequence(F.lit(-distance), F.lit(distance)))
-    spread = pixels.withColumn("i", near).withColumn("j", near).select("image", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col"), F.struct((-F.col("value")).alias("v"), F.col("row").alias("r"), F.col("col").alias("c")).alias("p"))
-    best = spread.groupBy("image", "row", "col").agg(F.min("p").alias("p")).filter((F.col("p.r") == F.col("row")) & (F.col("p.c") == F.col("col")) & (-F.col("p.v") > threshold))
-    return best.select("image", "row", "col", (-F.col("p.v")).alias("value"))
+    spread = pixels.select("image", "row", "col", "value", near.alias("i")).withColumn("at", F.col("row") + F.col("i"))
+    line = Window.partitionBy("image", "at").orderBy("col")
+    most = lambda rows, a, b: F.coalesce(F.max(F.when(rows, F.col("value"))).over(line.rangeBetween(a, b)), F.lit(float("-inf")))
+    own = F.col("i") == 0
+    #: A pixel in an earlier place wins with an equal value, one in the same or a later place only with a greater. A copy with i > 0 is of an earlier row.
+    spread = spread.withColumns({"before": F.greatest(most(F.col("i") > 0, -distance, distance), most(own, -distance, -1)), "after": F.greatest(most(F.col("i") < 0, -distance, distance), most(own, 0, distance))})
+    best = spread.filter(own & (F.col("value") > threshold) & (F.col("before") < F.col("value")) & (F.col("after") <= F.col("value")))
+    return best.select("image", "row", "col", "value")
 
 
 def ensemble(responses: DataFrame, weights: DataFrame, how: str = "mean") -> DataFrame:

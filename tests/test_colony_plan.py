@@ -2,6 +2,7 @@
 
 import re
 
+from fieldtrace.plans import colony  # noqa: F401
 from fieldtrace.plans.catalogue import QUERIES
 
 
