@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from . import ranks
 from .written import written
 
-#: Values drawn at a time; copies up to which weights come from the table of the distribution; values that make stretches worth it.
-BLOCK, TABLED, FEW_VALUES = 512, 4096, 4096
+#: Values in a block, and drawn at a time; copies up to which weights come from the table of the distribution; values that make stretches worth it.
+BLOCK, FEW, TABLED, FEW_VALUES = 512, 16, 4096, 4096
+#: Values of a group that are summed by one task.
+PIECE = 1 << 15
 #: Fixed values of a 64-bit mixing function: step between resamples, and its two factors.
 STEP, FACTORS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -52,36 +54,75 @@ def distribution(mean: int) -> np.ndarray:
     return np.cumsum(np.exp(-mean + np.concatenate([[0.0], np.cumsum(np.log(mean / k))])))
 
 
+@lru_cache(64)
+def guide(mean: int) -> np.ndarray:
+    """The draw by the first 16 bits of a number in [0, 1), or -1 where these leave it open."""
+    edge = np.arange((1 << 16) + 1) / (1 << 16)
+    low, high = np.searchsorted(distribution(mean), edge[:-1], "right"), np.searchsorted(distribution(mean), edge[1:], "left")
+    return np.where(low == high, low, -1).astype(np.int16)
+
+
+class Room(NamedTuple):
+    """Arrays that are filled again and again: new ones of this size cost more than the draws in them."""
+
+    x: np.ndarray
+    y: np.ndarray
+    drawn: np.ndarray
+    out: np.ndarray
+
+
+def room(boots: int, rows: int) -> Room:
+    return Room(*[np.empty((FEW, boots), kind) for kind in (np.uint64, np.uint64, np.int16)], np.empty((rows, boots + 1), np.int64))
+
+
+def _mixed(key: np.ndarray, boots: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x`` filled with 64 mixed bits by key and resample, from 1; ``y`` is scratch."""
+    np.add(np.arange(1, boots + 1, dtype=np.uint64)[None] * np.uint64(STEP), key.astype(np.uint64)[:, None], out=x)
+    for shift, factor in ((30, FACTORS[0]), (27, FACTORS[1]), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=y)
+        np.bitwise_xor(x, y, out=x)
+        if factor:
+            np.multiply(x, np.uint64(factor), out=x)
+    return x
+
+
 def uniform(key: np.ndarray, boots: int) -> np.ndarray:
     """Numbers in [0, 1) by key and resample, from 1."""
-    x = key.astype(np.uint64)[:, None] + np.arange(1, boots + 1, dtype=np.uint64)[None] * np.uint64(STEP)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(FACTORS[0])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(FACTORS[1])
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    x, y = np.empty((2, len(key), boots), np.uint64)
+    return (_mixed(key, boots, x, y) >> np.uint64(11)) * 2.0**-53
 
 
-def weights(key: np.ndarray, copies: np.ndarray, boots: int) -> np.ndarray:
-    """Weights by value and resample; column 0 is the sample itself."""
-    out = np.empty((len(key), boots + 1), np.int64)
+def weights(key: np.ndarray, copies: np.ndarray, boots: int, held: Room | None = None) -> np.ndarray:
+    """Weights by value and resample; column 0 is the sample itself. A few values at a time, so that they stay in the cache; of ``held`` the result is a part."""
+    held = held or room(boots, len(key))
+    out = held.out[: len(key)]
     out[:, 0] = copies
-    u = uniform(key, boots)
-    for n in np.unique(copies).tolist():
-        own = np.flatnonzero(copies == n)
-        if n <= TABLED:
-            out[own, 1:] = np.searchsorted(distribution(n), u[own], "right")
-        else:
-            for i in own.tolist():
-                out[i, 1:] = np.random.Generator(np.random.Philox(int(key[i]))).poisson(n, boots)
+    order = np.argsort(copies, kind="stable")
+    order = order[: np.searchsorted(copies[order], TABLED, "right")]
+    for a in range(0, len(order), FEW):
+        some = order[a : a + FEW]
+        x, y, drawn, n = *(h[: len(some)] for h in held[:3]), copies[some]
+        _mixed(key[some], boots, x, y)
+        at = np.right_shift(x, np.uint64(48), out=y).view(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(n)) + 1).tolist(), len(n)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            np.take(guide(int(n[i])), at[i:j], out=drawn[i:j], mode="clip")
+            if drawn[i:j].min(initial=0) < 0:
+                left = drawn[i:j] < 0
+                drawn[i:j][left] = np.searchsorted(distribution(int(n[i])), (x[i:j][left] >> np.uint64(11)) * 2.0**-53, "right")
+        out[some, 1:] = drawn
+    for i in np.flatnonzero(copies > TABLED).tolist():
+        out[i, 1:] = np.random.Generator(np.random.Philox(int(key[i]))).poisson(copies[i], boots)
     return out
 
 
 def _blocks(table: pa.Table, boots: int, parts: int):
-    """(values, their parts, weights) in order of value."""
-    table = table.sort_by("_v")
+    """(values, their parts, weights) in order of value; the weights hold until the next block."""
+    table, held = table.sort_by("_v"), room(boots, min(BLOCK, table.num_rows))
     for a in range(0, table.num_rows, BLOCK):
         part = table.slice(a, BLOCK)
         column = lambda c: part.column(c).to_numpy()  # noqa: E731, B023
-        yield column("_v"), [column(f"_p{i}") for i in range(parts)], weights(column("_key"), column("_n"), boots)
+        yield column("_v"), [column(f"_p{i}") for i in range(parts)], weights(column("_key"), column("_n"), boots, held)
 
 
 def _head(table: pa.Table, keys: list[str], n: int) -> dict[str, pa.ChunkedArray]:
@@ -148,15 +189,22 @@ def bootstrap(rows: DataFrame, by: list[str], score: str, statistic: Sums | Quan
     parts = statistic.parts(F.col("_v")) if isinstance(statistic, Sums) else []
     n_parts = len(parts)
     counted = written(counted.select("*", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_key"), *[p.cast("double").alias(f"_p{i}") for i, p in enumerate(parts)]))
-    edges = ranks.bounds(counted, "_v") if counted.count() > FEW_VALUES else []
-    counted = counted.withColumn("_a", ranks.stretch("_v", edges).cast("int"))
+    if isinstance(statistic, Quantile):
+        edges = ranks.bounds(counted, "_v") if counted.count() > FEW_VALUES else []
+        counted = counted.withColumn("_a", ranks.stretch("_v", edges).cast("int"))
+    else:
+        #: Sums need no order, so only a group of many values is cut up: arrays grow with groups and values, not with groups times stretches.
+        sizes = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_size"))
+        counted = counted.join(sizes, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).drop(*[f"_{k}" for k in keys])
+        counted = counted.withColumn("_a", F.pmod("_key", F.ceil(F.col("_size") / PIECE)).cast("int")).drop("_size")
 
     def summed(table: pa.Table) -> pa.Table:
-        total, sums = np.zeros(boots + 1, np.int64), np.zeros((n_parts, boots + 1))
+        total, sums, real = np.zeros(boots + 1, np.int64), np.zeros((n_parts, boots + 1)), np.empty((BLOCK, boots + 1))
         for _, values, w in _blocks(table, boots, n_parts):
             total += w.sum(0)
+            real[: len(w)] = w
             for i, v in enumerate(values):
-                sums[i] += v @ w
+                sums[i] += v @ real[: len(w)]
         columns = {f"_s{i}": pa.array([s], pa.list_(pa.float64())) for i, s in enumerate(sums)}
         return pa.table(_head(table, [*keys, "_a"], 1) | {"_w": pa.array([total], pa.list_(pa.int64()))} | columns)
 
