@@ -25,7 +25,7 @@ def link_by_mutual(points: DataFrame, radius: float, step: int = 1) -> DataFrame
 
 
 def link_by_matched(points: DataFrame, radius: float, step: int = 1) -> DataFrame:
-    return linking.matched(spatial.next_frames(points, radius, step, strict=True).select("tp", "pt1", "pt2", "dist"), radius)
+    return linking.matched(spatial.crowd_pairs(points, radius, step), radius)
 
 
 def link_by_soft(points: DataFrame, radius: float, step: int = 1) -> DataFrame:
