@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,49 @@ from .series import with_unwrapped
 from .tracks import order, rolling_value
 
 
-def _with_fits(rows: DataFrame, window: int, time: str, fields: tuple[str, ...]) -> DataFrame:
-    """``rows`` with slope and intercept of each field (field_slope, field_intercept), over windows of the track alone: nothing is joined."""
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once: the product's own error is added at the end."""
+    high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    whole = _let(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), high(a).alias("ah"), high(b).alias("bh"), (a * b).alias("p")), lambda z: _sum(z))
+    return F.nanvl(whole, a * b + c)
+
+
+def _sum(z: Column) -> Column:
+    al, bl, s = z["a"] - z["ah"], z["b"] - z["bh"], z["p"] + z["c"]
+    lost = ((z["ah"] * z["bh"] - z["p"]) + z["ah"] * bl + al * z["bh"]) + al * bl
+    other = s - z["p"]
+    return s + (((z["p"] - (s - other)) + (z["c"] - other)) + lost)
+
+
+def fused_slope(pairs: Column) -> Column:
+    """Least-squares slope of an array of (v, t) in its order, by running means whose co-moment is rounded once a step.
+
+    A slope that is just at a cutoff falls on the side of it that ``regr_slope`` of the SQL gives.
+    """
+    known = F.filter(pairs, lambda p: p["v"].isNotNull() & p["t"].isNotNull())
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mt", "mv", "co", "var")])
+
+    def step(s: Column, p: Column) -> Column:
+        n, dt = s["n"] + 1, p["t"] - s["mt"]
+        means = F.struct((s["mt"] + dt / n).alias("t"), (s["mv"] + (p["v"] - s["mv"]) / n).alias("v"))
+        return _let(means, lambda m: F.struct(n.alias("n"), m["t"].alias("mt"), m["v"].alias("mv"), _fused(dt, p["v"] - m["v"], s["co"]).alias("co"), (s["var"] + (p["t"] - m["t"]) * dt).alias("var")))
+
+    return F.aggregate(known, zero, step, lambda s: F.when(s["var"] > 0, (s["co"] / s["n"]) / (s["var"] / s["n"])))
+
+
+def _with_fits(rows: DataFrame, window: int, time: str, fields: tuple[str, ...], fused: bool = False) -> DataFrame:
+    """``rows`` with slope and intercept of each field (field_slope, field_intercept), over windows of the track alone: nothing is joined.
+    ``fused`` slopes are those of ``fused_slope``."""
     span = order().rowsBetween(-(window // 2), window - 1 - window // 2)
-    fits = {f"{c}_{n}": F.when(F.count(c).over(span) == window, f(F.col(c), F.col(time)).over(span)) for c in fields for n, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept))}
+    pairs = lambda c: F.collect_list(F.struct(F.col(c).cast("double").alias("v"), F.col(time).cast("double").alias("t"))).over(span)
+    slope = lambda c: fused_slope(pairs(c)) if fused else F.regr_slope(F.col(c), F.col(time)).over(span)
+    made = {"slope": slope, "intercept": lambda c: F.regr_intercept(F.col(c), F.col(time)).over(span)}
+    fits = {f"{c}_{n}": F.when(F.count(c).over(span) == window, f(c)) for c in fields for n, f in made.items()}
     before, whole = order().rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("track")
     #: The first fit is looked up once a track: a frame from each row to the last would read all rows behind each.
     held = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.min_by(c, F.when(F.col(c).isNotNull(), F.col("tp"))).over(whole))
@@ -22,7 +63,7 @@ def _with_fits(rows: DataFrame, window: int, time: str, fields: tuple[str, ...])
 def rolling_fit(points: DataFrame, window: int, time: str, field: str) -> DataFrame:
     """(track, tp, slope, intercept) of least-squares lines over centred windows; places near an end have the first or last
     full window's. Tracks shorter than the window have none."""
-    rows = _with_fits(points.select("track", "tp", F.col(time).alias("_t"), F.col(field).alias("_v")), window, "_t", ("_v",))
+    rows = _with_fits(points.select("track", "tp", F.col(time).alias("_t"), F.col(field).alias("_v")), window, "_t", ("_v",), fused=True)
     return rows.select("track", "tp", F.col("_v_slope").alias("slope"), F.col("_v_intercept").alias("intercept")).filter("slope is not null")
 
 
