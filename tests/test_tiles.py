@@ -49,3 +49,22 @@ def test_points_alone_in_either_frame(spark):
     assert sorted(r.pt for r in spatial.without_isolated(points, 3.5).collect()) == [1, 2, 3, 6, 7, 8]
     near = lambda a, tp: any(b[0] == tp and None not in (a[2], b[2]) and math.dist(a[2:], b[2:]) < 3.5 for b in data) or all(b[0] != tp for b in data)
     assert [a[1] for a in data if near(a, a[0] + 1) and near(a, a[0] - 1)] == [1, 2, 3, 6, 7, 8]
+
+
+@pytest.mark.parametrize("step", [1.0, 0.37])
+def test_latest_ends_by_frames_and_by_moments(spark, step):
+    """Whole steps are searched lag by lag, moments of their own all at once; ranks may be any column, arrays too."""
+    draw = np.random.default_rng(8)
+    moment = lambda: float(draw.integers(0, 4)) if step == 1.0 else float(draw.integers(0, 40)) * step + float(draw.random())
+    rows = [(k, (k * 37) % 101, moment(), float(draw.integers(0, 9)), float(draw.integers(0, 9)), moment(), float(draw.integers(0, 9)), 0.5) for k in range(101)]
+    tracks = spark.createDataFrame(rows, "track long, rank long, t0 double, x0 double, y0 double, t1 double, x1 double, y1 double")
+    want = {}
+    for b in rows:
+        found = [(b[2] - a[5], math.dist(a[6:], b[3:5]), a[1], a[0]) for a in rows if a[0] != b[0] and 0 < b[2] - a[5] <= 2.5 and math.dist(a[6:], b[3:5]) <= 3]
+        if found:
+            want[b[0]] = min(found)[3]
+    assert {r.track: r.before for r in spatial.gap_candidates(tracks, 2.5, 3.0, "rank").collect()} == want
+    listed = tracks.selectExpr("track", "array(0L, rank) AS rank", "t0", "x0", "y0", "t1", "x1", "y1")
+    got = spatial.gap_candidates(listed, 2.5, 3.0, "rank")
+    assert {r.track: r.before for r in got.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
