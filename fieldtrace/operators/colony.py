@@ -13,17 +13,19 @@ from . import groups, mesh, persistence, tracks
 NAMES = ("distance", "displacement", "velocity", "speed", "persistence", "disp_to_dist", "density", "area", "divergence", "curl")
 
 
-def fields(points: DataFrame, near: DataFrame, links: DataFrame, radii: DataFrame, chain: DataFrame | None = None, time_scale: float = 1.0, local: DataFrame | None = None) -> DataFrame:
+def fields(points: DataFrame, near: DataFrame | float, links: DataFrame, radii: DataFrame, chain: DataFrame | None = None, time_scale: float = 1.0, local: DataFrame | None = None) -> DataFrame:
     """Per track and time: (track, tp, pt, t, radius, distance, displacement, persistence, density, area, divergence, curl).
 
-    ``points`` has (track, tp, pt, x, y), ``near`` neighbouring points (tp, a, b) of a frame, ``links`` (tp, pt1, pt2), ``radii`` the
+    ``points`` has (track, tp, pt, x, y), ``near`` neighbouring points (tp, a, b) of a frame or a radius, ``links`` (tp, pt1, pt2), ``radii`` the
     distance from the centre in units of the rim (tp, pt, radius), and ``chain`` the tracks' ``persistence.timeline`` over tp. Area is that of
     the polygon of a point's neighbours, density one over it; divergence is the change of area and curl the turn of the neighbours
     along links; persistence is the share of persistent times from tp on and before the next. What a point lacks is null. Where ``local`` has
     the areas and densities (tp, pt, area, density) only the links' points need neighbours. Joins are hinted, so that no table of points goes through the driver.
     """
     places = points.select("tp", "pt", "x", "y")
-    if local is None:
+    if local is None and not isinstance(near, DataFrame):
+        local = mesh.radius_density(places, near)
+    elif local is None:
         around = mesh.both_ways(near).join(places.withColumnRenamed("pt", "near").hint("merge"), ["tp", "near"])
         local = mesh.local_density(around.select("tp", "pt", "x", "y"))
     found = [

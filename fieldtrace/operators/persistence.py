@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrace.functions.geometry import once
+
 from .series import with_unwrapped
 from .tracks import order, rolling_value
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once."""
-    return F.transform(F.array(value), f)[0]
-
-
 def _fused(a: Column, b: Column, c: Column) -> Column:
     """a * b + c, rounded once: the product's own error is added at the end."""
     high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
-    whole = _let(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), high(a).alias("ah"), high(b).alias("bh"), (a * b).alias("p")), lambda z: _sum(z))
+    whole = once(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), high(a).alias("ah"), high(b).alias("bh"), (a * b).alias("p")), _sum)
     return F.nanvl(whole, a * b + c)
 
 
@@ -41,7 +36,7 @@ def fused_slope(pairs: Column) -> Column:
     def step(s: Column, p: Column) -> Column:
         n, dt = s["n"] + 1, p["t"] - s["mt"]
         means = F.struct((s["mt"] + dt / n).alias("t"), (s["mv"] + (p["v"] - s["mv"]) / n).alias("v"))
-        return _let(means, lambda m: F.struct(n.alias("n"), m["t"].alias("mt"), m["v"].alias("mv"), _fused(dt, p["v"] - m["v"], s["co"]).alias("co"), (s["var"] + (p["t"] - m["t"]) * dt).alias("var")))
+        return once(means, lambda m: F.struct(n.alias("n"), m["t"].alias("mt"), m["v"].alias("mv"), _fused(dt, p["v"] - m["v"], s["co"]).alias("co"), (s["var"] + (p["t"] - m["t"]) * dt).alias("var")))
 
     return F.aggregate(known, zero, step, lambda s: F.when(s["var"] > 0, (s["co"] / s["n"]) / (s["var"] / s["n"])))
 

@@ -43,15 +43,14 @@ _FIELDS = f"""WITH RECURSIVE {NEAR}{_WARP}{_LOCAL}{_TRACKS}{_OWN},
 def _parameters(spark, sf_dir):
     points = written(T.detections(spark, sf_dir).select("tp", "pt", "x", "y"))
     links = written(spatial.nearest_links(points, spatial.earlier(points), RADIUS))
-    linked = points.join(links.select("tp", F.col("pt1").alias("pt")).hint("merge"), ["tp", "pt"], "left_semi")
-    near, local = spatial.radius_edges(linked, RADIUS), written(mesh.radius_density(points, RADIUS))
+    local = written(mesh.radius_density(points, RADIUS))
     chains = linking.chains(points, links)
     rows = points.join(chains.hint("merge"), ["tp", "pt"]).select(F.col("root_pt").alias("track"), "tp", "pt", "x", "y")
     warped = mesh.warped(points, mesh.sector_rim(points, 12), 36)
     radii = warped.select("tp", "pt", F.hypot("x", "y").alias("radius"))
     long = rows.join(rows.groupBy("track").agg(F.count("*").alias("n")).filter("n >= 7").select("track").hint("merge"), "track", "left_semi")
     chain = persistence.timeline(long.withColumn("t", F.col("tp").cast("double")), cutoff=TURN)
-    return colony.parameters(colony.fields(rows, near, links, radii, chain, local=local))
+    return colony.parameters(colony.fields(rows, RADIUS, links, radii, chain, local=local))
 
 
 @query("colony_parameters", f"{_FIELDS} SELECT track, {r('radius', *colony.NAMES, decimals=3)} FROM pa", 3)

@@ -16,7 +16,8 @@ MADE = NEAR + """, sz AS (SELECT tp FROM de GROUP BY tp HAVING count(*) >= 10),
 
 @query("made_points", f"WITH {MADE} SELECT tp, forward, source, {r('x', 'y', decimals=6)}, n FROM ma", 6)
 def made_points(spark, sf_dir):
-    return imputation.made_points(*_graph(spark, sf_dir))
+    points, _, links = _graph(spark, sf_dir)
+    return imputation.made_points(points, RADIUS, links)
 
 
 @query("merged_frames", f"""WITH {MADE}, fr AS (SELECT DISTINCT tp FROM de), bt AS (SELECT tp FROM fr WHERE tp - 1 IN (SELECT tp FROM fr) AND tp + 1 IN (SELECT tp FROM fr)),
@@ -26,10 +27,10 @@ def made_points(spark, sf_dir):
   SELECT tp, round(x, 6), round(y, 6), 1 FROM vs WHERE tp NOT IN (SELECT tp FROM bt) AND ((v = 0 AND tp - 1 IN (SELECT tp FROM fr)) OR (v = 1 AND tp + 1 IN (SELECT tp FROM fr))) UNION ALL
   SELECT tp, round(x, 6), round(y, 6), 1 FROM de WHERE tp - 1 NOT IN (SELECT tp FROM fr) AND tp + 1 NOT IN (SELECT tp FROM fr)""", 6)
 def merged_frames(spark, sf_dir):
-    points, near, links = _graph(spark, sf_dir)
-    return imputation.merged_frames(points, imputation.made_points(points, near, links)).drop("pt")
+    points, _, links = _graph(spark, sf_dir)
+    return imputation.merged_frames(points, imputation.made_points(points, RADIUS, links)).drop("pt")
 
 
 @query("relinked_tracks")
 def relinked_tracks(spark, sf_dir):
-    return imputation.linked_with_made(T.detections(spark, sf_dir), "nearest", RADIUS, edges=imputation.radius_edges, reach=RADIUS)[1]
+    return imputation.linked_with_made(T.detections(spark, sf_dir), "nearest", RADIUS, edges=imputation.within, reach=RADIUS)[1]
