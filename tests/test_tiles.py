@@ -68,3 +68,9 @@ def test_latest_ends_by_frames_and_by_moments(spark, step):
     got = spatial.gap_candidates(listed, 2.5, 3.0, "rank")
     assert {r.track: r.before for r in got.collect()} == want
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_run_in_order():
+    """Added in pairs the ones would not be lost beside 2^53."""
+    v = np.array([2.0**53, *[1.0] * 40, 5.0, 7.0])
+    assert tiles.added(v, np.array([41, 2])).tolist() == [2.0**53, 12.0]
